@@ -38,6 +38,7 @@ from primrose.operators import (
     split,
     validity,
 )
+from primrose.operators.rank import dist_rank
 from primrose.plans.views import MESSAGE_COLS, RATING_COLS, RATING_ORDER, Views
 from primrose.schemas import ANNOTATION_RESULT, ARTICLES, conform
 from primrose.session import scratch_path
@@ -47,6 +48,7 @@ QUERIES: dict[str, Query] = {}
 
 CHUNK_LIMIT = 4096  # small, so that several chunks appear
 CAPTURE_CAP = 500
+FEED_FILE_ITEMS = 500
 SNAPSHOT_TIMES = ("2013-12-05 16:17:00", "2013-12-07 11:41:00")
 
 
@@ -88,13 +90,29 @@ def scan_message_json(v: Views) -> DataFrame:
 @query
 def scan_feed_items(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "feeds")
-    listing = v.feed_listing(v.table("pages"))
+    tags = F.transform(
+        F.coalesce("rating", F.array().cast("array<string>")),
+        lambda r: F.concat(F.lit("<media:rating>"), r, F.lit("</media:rating>")),
+    )
+    item = F.concat(
+        F.lit("<item><link>"), F.replace(F.col("link"), F.lit("&"), F.lit("&amp;")),
+        F.lit("</link>"), F.array_join(tags, ""), F.lit("</item>"),
+    )
+    entries = v.feed_listing(v.table("pages")).select("item_ord", item.alias("item"))
+    filed = dist_rank(entries, ["item_ord"]).withColumn(
+        "file_no", F.floor((F.col("rank") - 1) / FEED_FILE_ITEMS)
+    )
     (
-        listing.select("link", F.col("rating").alias("media:rating"))
-        .write.format("xml")
-        .option("rowTag", "item")
-        .option("rootTag", 'rss xmlns:media="http://search.yahoo.com/mrss/"')
-        .save(path)
+        filed.groupBy("file_no")
+        .agg(F.array_join(F.collect_list("item"), "").alias("body"))
+        .select(
+            "file_no",
+            F.concat(
+                F.lit('<rss xmlns:media="http://search.yahoo.com/mrss/"><channel>'),
+                "body", F.lit("</channel></rss>"),
+            ).alias("value"),
+        )
+        .write.partitionBy("file_no").text(path)
     )
     items = sources.scan_feed_items(v.spark, path)
     return items.select("link", F.array_join("rating", ",").alias("ratings"))
