@@ -25,7 +25,7 @@ ENTITIES = [
     ("&gt;", ">"),
     ("&quot;", '"'),
     ("&#39;", "'"),
-    ("&nbsp;", " "),
+    ("&nbsp;", "\u00a0"),
     ("&copy;", "©"),
     ("&middot;", "·"),
     ("&amp;", "&"),

@@ -101,15 +101,16 @@ def naive_bayes_predict(
     labels: DataFrame,
     docs: DataFrame,
     features: DataFrame,
-    absent_counts: bool = False,
+    absent_counts: bool | Column = False,
 ) -> DataFrame:
     """``(doc_id, score0, score1, prediction)`` of every row of ``docs``.
 
     Scores are log prior plus the log likelihoods of the document's features;
     features unknown to the model are skipped, ties go to the larger label.
-    With ``absent_counts`` a feature that is missing from a document counts as
-    its false value (fixed feature sets); then the sum over all features is one
-    constant per label and only present features add a correction.
+    With ``absent_counts`` (for all features, or those a condition on
+    ``feature`` selects) a feature that is missing from a document counts as its
+    false value; then the sum over all such features is one constant per label
+    and only present features add a correction.
 
     The join by feature has one row per feature on the model side, so a very
     common feature is split by AQE at the cost of repeating one row.
@@ -126,9 +127,11 @@ def naive_bayes_predict(
         ).alias("p")
     ).scalar()
 
+    fixed = F.lit(absent_counts) if isinstance(absent_counts, bool) else absent_counts
+
     def gain(c: int) -> Column:
         true = F.log(f"true_p{c}")
-        return (true - F.log(f"absent_p{c}")) if absent_counts else true
+        return F.when(fixed, true - F.log(f"absent_p{c}")).otherwise(true)
 
     model = weights.select("feature", *[gain(c).alias(f"g{c}") for c in (0, 1)])
     sums = (
@@ -138,14 +141,15 @@ def naive_bayes_predict(
         .agg(*[F.sum(f"g{c}").alias(f"g{c}") for c in (0, 1)])
     )
     scored = docs.select("doc_id").join(sums, "doc_id", "left").withColumn("p", prior)
-    if absent_counts:
-        constant = weights.agg(
-            F.struct(*[F.sum(F.log(f"absent_p{c}")).alias(f"a{c}") for c in (0, 1)]).alias("a")
-        ).scalar()
-        scored = scored.withColumn("a", constant)
+    some_fixed = absent_counts is not False
+    if some_fixed:
+        absent = [
+            F.sum(F.when(fixed, F.log(f"absent_p{c}"))).alias(f"a{c}") for c in (0, 1)
+        ]
+        scored = scored.withColumn("a", weights.agg(F.struct(*absent).alias("a")).scalar())
     for c in (0, 1):
         score = F.col(f"p.p{c}") + F.coalesce(F.col(f"g{c}"), F.lit(0.0))
-        if absent_counts:
+        if some_fixed:
             score = score + F.coalesce(F.col(f"a.a{c}"), F.lit(0.0))
         scored = scored.withColumn(f"score{c}", score)
     return scored.select(
@@ -261,20 +265,34 @@ def fit_features(
 # --- classifiers ------------------------------------------------------------
 
 
-def fit_logistic(df: DataFrame, max_iter: int = 50) -> LogisticRegressionModel:
+def _fit(estimator, df: DataFrame):
+    """Fit on cached vectors: the solver passes over them more than once, and
+    each pass would tokenise the documents again."""
+    vectors = df.select("features", F.col("label").cast("double").alias("label")).persist()
+    try:
+        return estimator.fit(vectors)
+    finally:
+        vectors.unpersist()
+
+
+def fit_logistic(df: DataFrame, max_iter: int = 20) -> LogisticRegressionModel:
     """Log loss with an elastic-net penalty on ``features`` and ``label``.
 
     Deviation: full-batch optimisation in place of stochastic steps.
     """
-    return LogisticRegression(
-        elasticNetParam=0.15, regParam=1e-4, standardization=False, maxIter=max_iter
-    ).fit(df)
+    return _fit(
+        LogisticRegression(
+            elasticNetParam=0.15, regParam=1e-4, standardization=False, maxIter=max_iter
+        ),
+        df,
+    )
 
 
-_BLOCK = 256
+_BLOCK = 256  # projection rows made together
+_GROUP = 64  # documents projected together
 
 
-@lru_cache(maxsize=512)
+@lru_cache(maxsize=1024)
 def _projection(seed: int, block: int, dim: int) -> np.ndarray:
     """Rows ``block * _BLOCK ..`` of the random projection, made on demand so
     that nothing of vocabulary size is shipped to the tasks."""
@@ -283,6 +301,17 @@ def _projection(seed: int, block: int, dim: int) -> np.ndarray:
     )
 
 
+def _projection_rows(seed: int, wanted: np.ndarray, dim: int) -> np.ndarray:
+    """Projection rows of the sorted indices ``wanted``."""
+    rows = np.empty((len(wanted), dim), dtype=np.float32)
+    blocks = wanted // _BLOCK
+    starts = np.flatnonzero(np.diff(blocks, prepend=-1))
+    for at, end in zip(starts, [*starts[1:], len(wanted)], strict=True):
+        block = int(blocks[at])
+        rows[at:end] = _projection(seed, block, dim)[wanted[at:end] - block * _BLOCK]
+    return rows
+
+
 def fourier_features(
     df: DataFrame, gamma: float, dim: int = 256, seed: int = 7, output: str = "features"
 ) -> DataFrame:
@@ -297,16 +326,17 @@ def fourier_features(
     @F.pandas_udf("array<double>")
     def project(indices: pd.Series, values: pd.Series) -> pd.Series:
         out = []
-        for idx, val in zip(indices, values, strict=True):
-            idx = np.asarray(idx, dtype=np.int64)
-            val = np.asarray(val, dtype=np.float64)
-            z = phase.copy()
-            blocks = idx // _BLOCK
-            for b in np.unique(blocks):
-                here = blocks == b
-                rows = _projection(seed, int(b), dim)[idx[here] - b * _BLOCK]
-                z += width * (val[here] @ rows)
-            out.append(scale * np.cos(z))
+        for start in range(0, len(indices), _GROUP):
+            idx = indices.iloc[start : start + _GROUP].tolist()
+            val = values.iloc[start : start + _GROUP].tolist()
+            flat = np.concatenate(idx).astype(np.int64)
+            weight = np.concatenate(val).astype(np.float32)
+            wanted, place = np.unique(flat, return_inverse=True)
+            terms = _projection_rows(seed, wanted, dim)[place] * weight[:, None]
+            ends = np.cumsum([len(i) for i in idx])
+            for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+                z = phase + width * terms[lo:hi].sum(axis=0, dtype=np.float64)
+                out.append(scale * np.cos(z))
         return pd.Series(out)
 
     raw = F.unwrap_udt("features")
@@ -332,25 +362,28 @@ class RbfSvm:
 
 
 def fit_rbf_svm(
-    df: DataFrame, n_features: int, dim: int = 256, seed: int = 7, max_iter: int = 50
+    df: DataFrame, n_features: int, dim: int = 256, seed: int = 7, max_iter: int = 20
 ) -> RbfSvm:
     """``gamma`` is 1 / number of features, the usual default."""
     gamma = 1.0 / max(n_features, 1)
     mapped = fourier_features(df, gamma, dim, seed)
-    linear = LinearSVC(regParam=1e-3, maxIter=max_iter).fit(mapped)
+    linear = _fit(LinearSVC(regParam=1e-3, maxIter=max_iter), mapped)
     return RbfSvm(gamma, dim, seed, linear)
 
 
 def fit_decision_tree(df: DataFrame, max_depth: int = 8, min_rows: int = 10):
     """Decision tree by entropy on presence features."""
-    return DecisionTreeClassifier(
-        impurity="entropy",
-        maxDepth=max_depth,
-        minInstancesPerNode=min_rows,
-        maxBins=2,
-        maxMemoryInMB=512,
-        seed=1,
-    ).fit(df)
+    return _fit(
+        DecisionTreeClassifier(
+            impurity="entropy",
+            maxDepth=max_depth,
+            minInstancesPerNode=min_rows,
+            maxBins=2,
+            maxMemoryInMB=512,
+            seed=1,
+        ),
+        df,
+    )
 
 
 def predict(model, df: DataFrame) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from primrose.functions.names import parse_snapshot_time
 from primrose.operators.rank import dist_rank
+from primrose.session import pin
 
 TRAIN_SHARE = 0.75
+HASH_DIGITS = 4
 
 
 def row_index(df: DataFrame, order: Sequence[str] = ("id",)) -> DataFrame:
@@ -24,15 +27,43 @@ def train_test_split(
     df: DataFrame, seed: int = -42, key: str = "id", share: float = TRAIN_SHARE
 ) -> DataFrame:
     """``(key, part)``: exactly ``floor(share * n)`` train rows, by seeded md5
-    order; ``key`` is unique. Only the key is carried through the exchange."""
+    order; ``key`` is unique.
+
+    Only the last train row has to be found, not every rank. Hashes are even,
+    so rows are counted per leading hash digits (65,536 buckets at most); the
+    bucket holding the cut, 1/65,536 of the rows, is ranked; every other row is
+    compared with the cut in place, without an exchange. The narrow frame of
+    keys and hashes is pinned, so what ``df`` reads is read once.
+    """
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
-    ranked = dist_rank(df.select(key, order.alias("__h")), ["__h", key])
-    total = ranked.agg(F.max("rank").alias("n"))
-    return ranked.select(
-        key,
-        F.when(F.col("rank") <= F.floor(total.scalar() * F.lit(share)), "train")
-        .otherwise("test")
-        .alias("part"),
+    hashed = pin(df.select(key, order.alias("__h")))
+    place = F.struct("__h", key)
+    bucket = F.conv(F.substring("__h", 1, HASH_DIGITS), 16, 10).cast("int")
+
+    sizes = hashed.groupBy(bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    # At most 16 ** HASH_DIGITS rows: these windows and this sort are small.
+    upto = F.sum("__n").over(W.orderBy("__b"))
+    total = F.sum("__n").over(W.partitionBy())
+    edge = (
+        sizes.select(
+            "__b",
+            (upto - F.col("__n")).alias("before"),
+            upto.alias("upto"),
+            F.floor(total * F.lit(share)).alias("train_rows"),
+        )
+        .filter((F.col("before") < F.col("train_rows")) & (F.col("upto") >= F.col("train_rows")))
+        .select(F.struct("__b", "before", "train_rows").alias("edge"))
+    )
+    in_edge = (
+        hashed.withColumn("edge", edge.scalar())
+        .filter(bucket == F.col("edge.__b"))
+        .withColumn("rank", F.col("edge.before") + F.row_number().over(W.orderBy("__h", key)))
+    )
+    last = in_edge.filter(F.col("rank") == F.col("edge.train_rows")).select(
+        place.alias("last")
+    )
+    return hashed.select(
+        key, F.when(place <= last.scalar(), "train").otherwise("test").alias("part")
     )
 
 

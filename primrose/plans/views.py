@@ -17,6 +17,7 @@ from primrose.functions.names import stamp_name
 from primrose.operators.feeds import adult_flag, key_items
 from primrose.operators.messages import explode_links
 from primrose.schemas import RATING_SLOTS
+from primrose.sources.scans import spread_small
 
 _BLANK_SLOTS = [f"'' AS {c}" for c in RATING_SLOTS]
 
@@ -130,6 +131,10 @@ SCORED_COLS = [
 ]
 
 
+# Tables whose rows are costly to process, with their keys.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 class Views:
     """The derived frames of one data folder."""
 
@@ -137,12 +142,16 @@ class Views:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A given table; small text tables are spread over the cores."""
+        read = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread_small(read, TEXT_TABLES[name]) if name in TEXT_TABLES else read
 
     def stream(self, name: str) -> DataFrame:
         """The files of a table as a stream."""
         return (
-            self.spark.readStream.schema(self.table(name).schema)
+            self.spark.readStream.schema(
+                self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
+            )
             .option("pathGlobFilter", f"{name}*.parquet")
             .parquet(self.folder)
         )

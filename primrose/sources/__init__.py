@@ -8,6 +8,7 @@ from primrose.sources.scans import (
     scan_latest_snapshot,
     scan_message_json,
     scan_messages,
+    spread_small,
 )
 from primrose.sources.sinks import (
     append_messages,
@@ -34,6 +35,7 @@ __all__ = [
     "scan_message_json",
     "scan_messages",
     "split_bad_messages",
+    "spread_small",
     "write_annotation_csv",
     "write_capture_files",
     "write_chunked_json",
