@@ -306,7 +306,8 @@ def _projection_rows(seed: int, wanted: np.ndarray, dim: int) -> np.ndarray:
     rows = np.empty((len(wanted), dim), dtype=np.float32)
     blocks = wanted // _BLOCK
     starts = np.flatnonzero(np.diff(blocks, prepend=-1))
-    for at, end in zip(starts, [*starts[1:], len(wanted)], strict=True):
+    ends = np.append(starts[1:], len(wanted))
+    for at, end in zip(starts, ends, strict=False):
         block = int(blocks[at])
         rows[at:end] = _projection(seed, block, dim)[wanted[at:end] - block * _BLOCK]
     return rows
