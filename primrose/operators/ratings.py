@@ -178,39 +178,34 @@ def agreed_sensitive(df: DataFrame) -> DataFrame:
 def describe_column(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles (interpolated).
 
-    Quartiles come from value frequencies and their running total, so no task
-    holds the column, however many values it has.
+    Everything is read from value frequencies with their running total, which
+    are computed once: no task holds the column, however many values it has.
     """
-    value = F.col(col).cast("double")
-    known = df.select(value.alias("v")).filter(F.col("v").isNotNull())
-    moments = known.agg(
-        F.count("v").alias("count"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-    )
+    known = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     freq = known.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    running = dist_running_sum(freq, [], ["v"], {"upto": "n"})
-    total = running.agg(F.max("upto").alias("t"))
-    placed = running.withColumn("t", total.scalar())
-    picks = []
+    table = dist_running_sum(freq, [], ["v"], {"upto": "n"})
+    sums = table.agg(
+        F.struct(
+            F.sum("n").alias("t"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean")
+        ).alias("sums")
+    ).scalar()
+    placed = table.withColumn("sums", sums)
+    t, mean = F.col("sums.t"), F.col("sums.mean")
+    deviation = F.sum(F.col("n") * (F.col("v") - mean) * (F.col("v") - mean))
+    quartiles = []
     for q in (0.25, 0.5, 0.75):
-        at = (F.col("t") - 1) * q
+        at = (t - 1) * q
         low = F.min(F.when(F.col("upto") > F.floor(at), F.col("v")))
         high = F.min(F.when(F.col("upto") > F.ceil(at), F.col("v")))
         part = F.max(at - F.floor(at))
-        picks.append((low + (high - low) * part).alias(f"p{int(q * 100)}"))
-    quartiles = placed.agg(F.struct(*picks).alias("q"))
-    return (
-        moments.withColumn("q", quartiles.scalar())
-        .select(
-            "count", "mean", "std", "min",
-            F.col("q.p25").alias("p25"),
-            F.col("q.p50").alias("p50"),
-            F.col("q.p75").alias("p75"),
-            "max",
-        )
+        quartiles.append((low + (high - low) * part).alias(f"p{int(q * 100)}"))
+    return placed.agg(
+        F.coalesce(F.max(t), F.lit(0).cast("long")).alias("count"),
+        F.max(mean).alias("mean"),
+        F.sqrt(F.try_divide(deviation, F.max(t - 1).cast("double"))).alias("std"),
+        F.min("v").alias("min"),
+        *quartiles,
+        F.max("v").alias("max"),
     )
 
 
