@@ -7,17 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from primrose.functions.links import compose_link_id
-from primrose.functions.text import html_to_text, word_count
+from primrose.functions.text import html_to_text, let, word_count
 from primrose.operators.rank import dist_rank, dist_running_sum
 
 SITES = ("site1", "site2", "site3")
 
 
 def add_content_columns(df: DataFrame) -> DataFrame:
-    """Plain text of the parsed page and its length in words."""
-    return df.withColumn("content", html_to_text(F.col("parser_content"))).withColumn(
-        "content_len", word_count(F.col("content"))
+    """Plain text of the parsed page and its length in words.
+
+    Generated rather than projected: a later filter on either column would
+    otherwise be pushed below and clean every page a second time.
+    """
+    both = let(
+        html_to_text(F.col("parser_content")),
+        lambda text: F.struct(text.alias("content"), word_count(text).alias("content_len")),
     )
+    return df.select("*", F.inline(F.array(both)))
 
 
 def long_enough(df: DataFrame, n: int = 100) -> DataFrame:

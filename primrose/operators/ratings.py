@@ -132,16 +132,22 @@ def fill_rating_slots(
     )
     queue = F.array(*[F.col(f"__r{k}") for k in range(1, len(RATING_SLOTS) + 1)])
     empty = [F.coalesce(F.col(c) == "", F.lit(False)).cast("int") for c in RATING_SLOTS]
-    filled = {}
+    filled = []
     for i, slot in enumerate(RATING_SLOTS):
         taken = F.lit(0)
         for earlier in empty[:i]:
             taken = taken + earlier
-        filled[slot] = F.when(
+        value = F.when(
             F.col(slot) == "", F.coalesce(F.get(queue, taken), F.lit(""))
         ).otherwise(F.col(slot))
+        filled.append(value.alias(slot))
+    # Generated, so that filters on rating columns read the five results
+    # instead of having these expressions copied into them.
+    rest = [c for c in articles.columns if c not in RATING_SLOTS]
     return (
-        articles.join(incoming, "id", "left").withColumns(filled).select(*articles.columns)
+        articles.join(incoming, "id", "left")
+        .select(*rest, F.inline(F.array(F.struct(*filled))))
+        .select(*articles.columns)
     )
 
 
@@ -154,8 +160,16 @@ def mean_rating(df: DataFrame) -> DataFrame:
 
 
 def add_rating_columns(df: DataFrame) -> DataFrame:
-    """Count, mean and label of the ratings of each row."""
-    return mean_rating(count_ratings(df)).withColumn(
+    """Count, mean and label of the ratings of each row.
+
+    Generated rather than projected, so that a filter on one of them does not
+    parse the ratings again.
+    """
+    figures = F.struct(
+        count_ratings_expr().alias("count_turk_ratings"),
+        mean_rating_expr().alias("avg_turk_ratings"),
+    )
+    return df.select("*", F.inline(F.array(figures))).withColumn(
         "turk_sensitive_flag", sensitive_label(F.col("avg_turk_ratings"))
     )
 
@@ -220,10 +234,10 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def binned_counts(df: DataFrame, col: str = "avg_turk_ratings") -> DataFrame:
+    """Count per bin; averages outside (0, 1] have none."""
     return (
-        df.withColumn("bin", rating_bin(F.col(col)))
-        .filter(F.col("bin").isNotNull())
-        .groupBy("bin")
+        df.filter((F.col(col) > 0) & (F.col(col) <= 1))
+        .groupBy(rating_bin(F.col(col)).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 

@@ -9,19 +9,17 @@ from pyspark.sql import types as T
 from primrose.schemas import ANNOTATION_RESULT, ARTICLES, CAPTURE, FEED_ITEM, MESSAGES
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
+def spread_small(df: DataFrame, key: str, fan_out: int = 8) -> DataFrame:
     """Spread a small table over the cores; leave a large one as it lies.
 
-    A file written as one row group is one task, whatever the cluster. Below
-    one full split per core the table cannot occupy the cluster, and moving it
-    once by ``key`` is cheap (its size is bounded by cores x split size). At or
-    above that size its own splits give enough tasks, and nothing is moved.
+    A file written as one row group is one task, whatever the cluster. While
+    the scan has fewer splits than there are cores it cannot occupy them, and
+    moving it once by ``key`` is cheap (its size is below cores x split size).
+    From there on its own splits give enough tasks, and nothing is moved.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * split_bytes else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(min(cores, splits * fan_out), key) if splits < cores else df
 
 
 def scan_articles(spark: SparkSession, path: str) -> DataFrame:

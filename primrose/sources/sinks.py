@@ -21,9 +21,12 @@ def write_messages_json(df: DataFrame, path: str) -> None:
 def write_capture_files(
     df: DataFrame, path: str, order: Sequence[str], rows_per_file: int = 1000
 ) -> None:
-    """Captured messages as JSON array files of at most ``rows_per_file``."""
-    ranked = dist_rank(df, order)
-    numbered = ranked.withColumn(
+    """Captured messages as JSON array files of at most ``rows_per_file``.
+
+    ``order`` ends in a unique key; only the order columns are ranked.
+    """
+    ranks = dist_rank(df.select(*order), order).select(order[-1], "rank")
+    numbered = df.join(ranks, order[-1]).withColumn(
         "file_no", F.floor((F.col("rank") - 1) / rows_per_file).cast("long")
     )
     record = F.struct("rank", "text", "possibly_sensitive", "source", "lang")
