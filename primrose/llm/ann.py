@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from primrose.llm.common import kept_table
+from primrose.session import ship_package
 
 SAMPLE_ROWS = 16_384
 MAX_LISTS = 1024
@@ -147,6 +148,7 @@ def nearest(
     frequent one. Of rows that repeat an id the least vector stands. A query's
     own id is no candidate. An empty table gives an empty result.
     """
+    ship_package(vectors.sparkSession)
     as_double = F.col(vector_col).cast("array<double>")
     rows = (
         vectors.select(F.col(id_col).cast("long").alias("id"), as_double.alias("v"), is_query.alias("q"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from primrose.session import ship_package
+
 TRAIN_CHARS = 16_000
 TRAIN_ROWS = 40
 MAX_SYMBOLS = 120
@@ -201,6 +203,7 @@ def identify(
     repeated rows stay. An empty table gives an empty result. A model without
     a language gives ``und`` for all.
     """
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -19,6 +19,7 @@ from primrose.llm.common import (
     salted_left_join,
     whole_runs,
 )
+from primrose.session import ship_package
 
 SHINGLE = 5
 PERCENT = 75
@@ -252,6 +253,7 @@ def near_duplicates(
     id with several texts links through each of them, and each row has the
     component of its own text. An empty table gives an empty result.
     """
+    ship_package(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = kept_table(src.mapInArrow(_sign, _SIGNED_SQL), "signed")
     nodes = kept_table(

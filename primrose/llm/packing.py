@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from primrose.llm.common import kept_table
+from primrose.session import ship_package
 
 CAPACITY = 2048
 GROUP_PIECES = 8192
@@ -286,6 +287,7 @@ def pack_documents(
     rows are packed as rows of their own. An empty table gives an empty result.
     The tokenizer file must lie at ``tokenizer_path`` on every executor.
     """
+    ship_package(docs.sparkSession)
     names = "doc long, piece int, start long, length long, ids_crc32 long"
     pieces = kept_table(
         docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from primrose.llm.common import held_out
+from primrose.session import ship_package
 
 PASSAGE_BYTES = 512
 PAIR_BUCKETS = 192
@@ -215,6 +216,7 @@ def score_quality(
     Null and empty texts are one empty passage and are scored like any. Null
     ids and repeated rows stay. An empty table gives an empty result.
     """
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -235,6 +237,7 @@ def keep_good(
 ) -> DataFrame:
     """Rows of ``docs`` that score ``threshold`` or more, with all their
     columns. Rows are judged where they lie; nothing is exchanged."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from primrose.llm.common import WordHashes, gram_hashes
+from primrose.session import ship_package
 
 WINDOW = 13
 ANCHOR = 5
@@ -208,6 +209,7 @@ def duplicate_spans(
     to each other: they remove nothing from one another but give one row each.
     Null ids count as the largest id. An empty table gives an empty result.
     """
+    ship_package(docs.sparkSession)
     n = groups or max(1, -(-docs.count() // GROUP_ROWS))
     texts = _pieces(docs, id_col, text_col, n)
     blocks = n

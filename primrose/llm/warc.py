@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from primrose.llm.common import kept_table, salted_left_join
-from primrose.session import scratch_path
+from primrose.session import scratch_path, ship_package
 
 SKIPPABLE = 0x184D2A5D  # Fixed value: magic number of the dictionary frame.
 FRAME = b"\x28\xb5\x2f\xfd"  # Fixed value: magic number of a Zstandard frame.
@@ -324,6 +324,7 @@ def round_trip(
     their own: those with the largest id are all responses. An empty table
     gives no archive and an empty result. Line ends in a url are escaped.
     """
+    ship_package(pages.sparkSession)
     where = folder or scratch_path(pages.sparkSession, "warc")
     manifest = write_archives(plan_records(pages, id_col, url_col, html_col), where)
     return read_archives(manifest, with_payload)
