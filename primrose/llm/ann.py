@@ -17,11 +17,11 @@ from primrose.session import ship_package
 
 SAMPLE_ROWS = 16_384
 MAX_LISTS = 1024
-PROBED_SHARE = 0.6
+PROBED_SHARE = 0.7
 PART_ROWS = 8192
 PART_QUERIES = 2048
 COLUMNS = 16
-EPSILON = 2.1
+EPSILON = 2.6
 ROUNDS = 8
 
 
