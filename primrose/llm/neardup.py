@@ -287,7 +287,9 @@ def near_duplicates(
             F.col("least").alias("id"),
         )
     )
-    texts = placed.join(src, placed["id"].eqNullSafe(src["id"])).select("cluster", "low", "high", "node", "text")
+    # One plan at every size: a broadcast of few members would only hide what
+    # the exchange of texts costs.
+    texts = placed.hint("merge").join(src, placed["id"].eqNullSafe(src["id"])).select("cluster", "low", "high", "node", "text")
     met = texts.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
     links = kept_table(met.mapInArrow(_confirm(percent), "a binary, b binary"), "links")
     linked = components(links).withColumnRenamed("root", "component")
