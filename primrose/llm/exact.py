@@ -74,12 +74,14 @@ def exact_groups(
         .withColumn("__many", F.lit(True))
     )
     full = runs.join(F.broadcast(merged), "text_sha256", "left")
-    keep_id = F.when(F.col("__many"), F.col("__keep")).otherwise(F.col("__run_keep"))
+    # __hot is read in both branches, so that they share one exchange of texts.
+    parted = F.col("__hot") & F.col("__many")
+    keep_id = F.when(parted, F.col("__keep")).otherwise(F.col("__run_keep"))
     first = F.col("__pos") == 1
     return full.select(
         F.col("__id").alias(id_col),
         keep_id.alias("keep_id"),
-        F.coalesce("__rows", "__run_rows").alias("group_size"),
+        F.when(parted, F.col("__rows")).otherwise(F.col("__run_rows")).alias("group_size"),
         (first & F.col("__id").eqNullSafe(keep_id)).alias("kept"),
         "text_sha256",
     )
