@@ -142,7 +142,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int =
     }
     if not texts:
         return Model(np.zeros(DIMENSIONS), np.ones(DIMENSIONS), w)
-    x, first = passages(texts)
+    x, first = _all_passages(texts)
     mean, scale = x.mean(0), np.maximum(x.std(0), 0.02)
     x = np.clip((x - mean) / scale, -8, 8)
     y = np.array(labels, float)
@@ -163,19 +163,32 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int =
     return Model(mean, scale, w)
 
 
-def score_texts(texts: list[bytes], model: Model) -> np.ndarray:
-    """Score of each text, in chunks of bounded bytes; a text longer than that
-    is a chunk of its own."""
-    out, part, held = [], [], 0
-    for t in [*texts, None]:
-        if part and (t is None or held + len(t) > _CHUNK_BYTES):
-            x, first = passages(part)
-            x = np.clip((x - model.mean) / model.scale, -8, 8)
-            out.append(_forward(x, first, model.w)["y"])
+def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of bounded bytes; a longer text is a run of its own."""
+    part, held = [], 0
+    for t in texts:
+        if part and held + len(t) > _CHUNK_BYTES:
+            yield part
             part, held = [], 0
-        if t is not None:
-            part.append(t)
-            held += len(t)
+        part.append(t)
+        held += len(t)
+    if part:
+        yield part
+
+
+def _all_passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    got = [passages(part) for part in _chunks(texts)]
+    sizes = np.concatenate([np.diff(first) for _, first in got])
+    return np.concatenate([x for x, _ in got]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def score_texts(texts: list[bytes], model: Model) -> np.ndarray:
+    """Score of each text."""
+    out = []
+    for part in _chunks(texts):
+        x, first = passages(part)
+        x = np.clip((x - model.mean) / model.scale, -8, 8)
+        out.append(_forward(x, first, model.w)["y"])
     return np.concatenate(out) if out else np.zeros(0)
 
 
