@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import sys
 import zlib
@@ -20,7 +21,6 @@ CAPACITY = 2048
 GROUP_PIECES = 8192
 SEARCH_NODES = 2000
 CHOICES = 6
-CACHE_ENTRIES = 700_000
 _PIECES = pa.schema(
     [
         ("doc", pa.int64()),
@@ -30,48 +30,80 @@ _PIECES = pa.schema(
         ("ids_crc32", pa.int64()),
     ]
 )
-_TWO_SPACES = re.compile(r"\s\s")
+# Fixed value: how byte-level vocabularies cut a text before merging.
+_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LATIN = re.compile("[\x00-\u024f\u2010-\u2027\u20ac]*\\Z")
 
 
-class TokenIds:
-    """Token ids of a text as little-endian 32-bit integers.
 
-    Where every white space stands alone, the byte-level tokenizer never joins
-    what lies on both sides of a blank before a word, so such texts are cut at
-    blanks and each part is encoded once; other texts are encoded whole. Parts
-    seen are remembered, up to a bound.
+def _byte_of_letter() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the
+    others, in order, as the letters from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+class TokenIds:
+    """Token ids of a text, as the tokenizer of a file gives them, as
+    little-endian 32-bit integers.
+
+    For a byte-level vocabulary texts of Latin letters are encoded by tiktoken,
+    built from the same file, which gives the same ids about four times as
+    fast. All other texts, texts that hold a special token, and other kinds of
+    files go through the tokenizer itself; so does the first text of each
+    batch, and if the two should differ there, the whole batch.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        step, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = (
+            step.get("type") == "ByteLevel"
+            and not step.get("add_prefix_space")
+            and step.get("use_regex", True)
+            and spec.get("normalizer") is None
+            and model.get("type", "BPE") == "BPE"
+        )
+        self.fast = self._same_by_tiktoken(model["vocab"]) if plain else None
+
+    def _same_by_tiktoken(self, vocab: dict[str, int]):
+        import tiktoken
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        byte_of = _byte_of_letter()
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items() if t not in self.special}
+        return tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _slow(self, texts: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, "<u4").tobytes() for c in coded]
 
+    def _plain(self, text: str) -> bool:
+        return bool(_LATIN.match(text)) and not any(s in text for s in self.special)
+
     def of(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _TWO_SPACES.search(t) else self._parts(t) for t in texts]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        new = {p for parts in cut if parts for p in parts} - self.known.keys()
-        if new:
-            new = list(new)
-            self.known.update(zip(new, self._encode(new), strict=True))
-        get = self.known.__getitem__
-        whole = iter(self._encode([t for t, parts in zip(texts, cut, strict=True) if parts is None]))
-        return [next(whole) if parts is None else b"".join(map(get, parts)) for parts in cut]
-
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        return [first, *[" " + r for r in rest]] if first else [" " + r for r in rest]
+        if self.fast is None or not texts:
+            return self._slow(texts)
+        plain = [self._plain(t) for t in texts]
+        out = [
+            self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() if ok else b""
+            for t, ok in zip(texts, plain, strict=True)
+        ]
+        if plain[0] and out[0] != self._slow(texts[:1])[0]:
+            plain = [False] * len(texts)
+        slow = [i for i, ok in enumerate(plain) if not ok]
+        for i, coded in zip(slow, self._slow([texts[i] for i in slow]), strict=True):
+            out[i] = coded
+        return out
 
 
 def _token_ids(path: str) -> TokenIds:
-    """One for each worker process, so that tasks share what is remembered."""
+    """One for each worker process, so that tasks share what was built."""
     held = sys.modules[__name__].__dict__.setdefault("_HELD", {})
     if path not in held:
         held[path] = TokenIds(path)
@@ -92,10 +124,10 @@ def _tokenise(path: str, capacity: int, end_id: int):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: dict[str, list] = {f.name: [] for f in _PIECES}
-            for start in range(0, len(texts), 256):
+            for start in range(0, len(texts), 1024):
                 for doc, coded in zip(
-                    ids[start : start + 256],
-                    ids_of.of([t or "" for t in texts[start : start + 256]]),
+                    ids[start : start + 1024],
+                    ids_of.of([t or "" for t in texts[start : start + 1024]]),
                     strict=True,
                 ):
                     coded += end
