@@ -87,14 +87,19 @@ def fit(samples: Mapping[str, str], train_chars: int = TRAIN_CHARS) -> Model:
             low = c.lower()
             symbol_of[point] = symbol.get(low[:1], 1)
     automata = [suffix_automaton([symbol.get(c, 1) for c in texts[k]], symbols) for k in languages]
-    states = max((len(a) for a in automata), default=1)
+    states = max((len(a) for a in automata), default=1) + 1
     breaks = 1 << 24
     step = np.zeros((len(languages), states * symbols), np.int32)
     for i, move in enumerate(automata):
         # Where a phrase cannot go on, it ends and the symbol begins the next
-        # one; a symbol the language does not know is a phrase of its own.
-        start = np.where(move[0] >= 0, move[0], 0) + breaks
-        step[i, : move.size] = np.where(move >= 0, move, start[None, :]).ravel()
+        # one. A symbol the language does not know is a phrase of its own: the
+        # last state, which no symbol goes on from.
+        alone = len(move)
+        start = np.where(move[0] >= 0, move[0], alone)
+        full = np.where(move >= 0, move, start[None, :] + breaks)
+        full[0] = start
+        step[i, : move.size] = full.ravel()
+        step[i, move.size : move.size + symbols] = start + breaks
     bits = np.array([np.log2(max(2, len(texts[k]))) for k in languages])
     return Model(languages, symbol_of, step, symbols, breaks, bits)
 
@@ -174,7 +179,9 @@ def training_texts(
     """For each label the texts of the ``rows`` rows with the least hash of
     their id, up to ``chars`` characters in all. Only ids are ranked; labels
     are few, so the chosen ids may be broadcast (``rows`` for each)."""
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    labelled = docs.select(id_col, text_col, lang_col).filter(
+        F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()
+    )
     order = W.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
     chosen = (
         labelled.select(id_col, lang_col)

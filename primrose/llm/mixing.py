@@ -126,6 +126,5 @@ def repeated_by_mix(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id") ->
     Ids must be unique and not null; the join is on them."""
     times = mix.select(F.col(id_col).alias("__mix_id"), F.col("copies").alias("__copies")).filter("__copies > 0")
     joined = docs.join(times, docs[id_col] == times["__mix_id"])
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(
-        *[docs[c] for c in docs.columns]
-    )
+    again = F.explode(F.sequence(F.lit(1), times["__copies"].cast("int")))
+    return joined.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), again.alias("n")).select("row.*")

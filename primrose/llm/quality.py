@@ -214,7 +214,7 @@ def training_rows(
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(rows)
     )
-    joined = docs.join(F.broadcast(ids), F.col(id_col) == F.col("__id"))
+    joined = docs.select(id_col, text_col).join(F.broadcast(ids), F.col(id_col) == F.col("__id"))
     text = F.substring(F.encode(F.coalesce(text_col, F.lit("")), "UTF-8"), 1, text_bytes)
     one_each = joined.groupBy("__id").agg(F.min("__label").alias("__label"), F.min(text).alias("t"))
     got = sorted(one_each.collect(), key=lambda r: r["__id"])
