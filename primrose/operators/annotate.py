@@ -32,7 +32,7 @@ def long_enough(df: DataFrame, n: int = 100) -> DataFrame:
 
 def only_known_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose id, as text, is among the submitted ids."""
-    known = ids.select(F.col("id").cast("string").alias("__key"))
+    known = ids.select(F.col("id").cast("string").alias("__key")).distinct()
     return df.join(known, F.col("id").cast("string") == F.col("__key"), "left_semi")
 
 

@@ -64,21 +64,39 @@ def ranked_terms(freqs: DataFrame) -> DataFrame:
     return freqs.orderBy(F.desc("n"), "term")
 
 
+TERM_SALTS = 16
+
+
+def join_by_term(rows: DataFrame, model: DataFrame, term: str = "term") -> DataFrame:
+    """``rows`` (with ``doc_id``) joined with ``model``, one row per term.
+
+    A term may stand in every document. The model side is an aggregate, which
+    leaves Spark no exchange to split, so the rows of a term are dealt over
+    ``TERM_SALTS`` tasks by document, and the model is repeated for each.
+    """
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(TERM_SALTS)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1)))
+    return (
+        rows.withColumn("__salt", salt)
+        .join(model.withColumn("__salt", each), [term, "__salt"])
+        .drop("__salt")
+    )
+
+
 def tfidf_terms(docs: DataFrame, fitted_on: DataFrame | None = None) -> DataFrame:
     """``(doc_id, term, weight)``: tf * (ln((1+n)/(1+df)) + 1), unit length per
     document. ``fitted_on`` supplies the document frequencies (default: the
     documents themselves); terms unknown there are left out.
 
-    Two exchanges carry term rows: one by term (a very common term is split by
-    AQE, whose other side is one row), one by document for the norm.
+    Two exchanges carry term rows: one by term (a very common term is dealt
+    over several tasks), one by document for the norm.
     """
     base = docs if fitted_on is None else fitted_on
     df = document_frequencies(tfidf_counts(base))
     n = base.agg(F.count(F.lit(1)).alias("docs")).scalar()
     idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0
     raw = (
-        tfidf_counts(docs)
-        .join(df, "term")
+        join_by_term(tfidf_counts(docs), df)
         .select("doc_id", "term", (F.col("n") * idf).alias("w"))
     )
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id")))
@@ -87,7 +105,7 @@ def tfidf_terms(docs: DataFrame, fitted_on: DataFrame | None = None) -> DataFram
 
 def apply_vocabulary(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """Terms restricted to a fitted vocabulary (distinct ``term``)."""
-    return terms.join(vocab.select("term"), "term", "left_semi")
+    return join_by_term(terms, vocab.select("term")).select(*terms.columns)
 
 
 def fitted_vocabulary(terms: DataFrame) -> DataFrame:

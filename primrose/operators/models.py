@@ -34,7 +34,12 @@ from primrose.functions.text import (
     simple_tokens,
     tfidf_tokens,
 )
-from primrose.operators.features import present_bigrams, selected_names, top_bigrams
+from primrose.operators.features import (
+    join_by_term,
+    present_bigrams,
+    selected_names,
+    top_bigrams,
+)
 from primrose.operators.metrics import cv_summary, fold_f1
 
 # --- naive Bayes ------------------------------------------------------------
@@ -114,8 +119,7 @@ def naive_bayes_predict(
     false value; then the sum over all such features is one constant per label
     and only present features add a correction.
 
-    The join by feature has one row per feature on the model side, so a very
-    common feature is split by AQE at the cost of repeating one row.
+    A very common feature is dealt over several tasks (``join_by_term``).
     """
     prior = labels.agg(
         F.struct(
@@ -137,8 +141,7 @@ def naive_bayes_predict(
 
     model = weights.select("feature", *[gain(c).alias(f"g{c}") for c in (0, 1)])
     sums = (
-        features.select("doc_id", "feature")
-        .join(model, "feature", "inner")
+        join_by_term(features.select("doc_id", "feature"), model, "feature")
         .groupBy("doc_id")
         .agg(*[F.sum(f"g{c}").alias(f"g{c}") for c in (0, 1)])
     )
@@ -242,7 +245,9 @@ def fit_features(
         fitted = _bounded_vocabulary(train, words, vocab_limit, binary=True)
         return Featurizer(words, PipelineModel([fitted]), fitted.vocabulary)
 
-    names = selected_names(top_bigrams(train), vocab_limit) or []
+    names = selected_names(top_bigrams(train), vocab_limit)
+    if names is None:
+        raise ValueError(f"more than {vocab_limit} bigrams are selected; raise vocab_limit")
 
     def bigrams(text: Column) -> Column:
         return present_bigrams(text, names)
@@ -374,8 +379,9 @@ def fit_rbf_svm(
     return RbfSvm(gamma, dim, seed, linear)
 
 
-def fit_decision_tree(df: DataFrame, max_depth: int = 8, min_rows: int = 10):
-    """Decision tree by entropy on presence features."""
+def fit_decision_tree(df: DataFrame, max_depth: int = 30, min_rows: int = 1):
+    """Decision tree by entropy on presence features; as deep as MLlib allows,
+    down to single rows."""
     return _fit(
         DecisionTreeClassifier(
             impurity="entropy",

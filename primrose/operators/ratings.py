@@ -66,14 +66,16 @@ def unmatched_ratings(ratings: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def _first_ratings(ratings: DataFrame, order: Sequence[str]) -> DataFrame:
-    """The first five ratings per article, numbered from 1.
+    """The first five ratings per article that are not blank, numbered from 1.
 
-    An article has five slots, so later ratings can never be stored. Spark
+    A blank or null rating leaves its slot empty, so it takes no number. An
+    article has five slots, so later ratings can never be stored. Spark
     applies the limit before the exchange as well (window group limit): an
     article with any number of ratings sends five rows per task.
     """
     w = W.partitionBy("link_id").orderBy(*order)
-    return ratings.withColumn("k", F.row_number().over(w)).filter(
+    given = ratings.filter(F.coalesce(F.trim("rating"), F.lit("")) != "")
+    return given.withColumn("k", F.row_number().over(w)).filter(
         F.col("k") <= len(RATING_SLOTS)
     )
 

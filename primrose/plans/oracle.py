@@ -122,7 +122,8 @@ parsed AS (SELECT id, json_extract_string(reply, '$.title') AS title,
 _order = ", ".join(RATING_ORDER)
 ASSIGNED = f"""slots AS (SELECT {cols(SLOT_COLS)} FROM orders),
 ratings AS (SELECT {cols(RATING_COLS)} FROM lineitem),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY link_id ORDER BY {_order}) AS k FROM ratings),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY link_id ORDER BY {_order}) AS k FROM ratings
+  WHERE rating <> ''),
 cells AS (SELECT id, slot, content FROM (
   {' UNION ALL '.join(f"SELECT id, {i} AS slot, {c} AS content FROM slots" for i, c in enumerate(SLOTS))})),
 empties AS (SELECT id, slot, row_number() OVER (PARTITION BY id ORDER BY slot) AS k

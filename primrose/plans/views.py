@@ -42,7 +42,8 @@ SLOT_COLS = [
 
 RATING_COLS = [
     "l_orderkey AS link_id",
-    "CASE WHEN l_returnflag = 'R' THEN '1' ELSE '0' END AS rating",
+    "CASE WHEN l_quantity < 5 THEN NULL WHEN l_quantity < 15 THEN ''"
+    " WHEN l_returnflag = 'R' THEN '1' ELSE '0' END AS rating",
     "l_linestatus AS file",
     "l_linenumber AS row_no",
     "l_partkey AS pos",

@@ -468,3 +468,30 @@ def test_bad_messages_are_set_aside(spark, tmp_path):
 
 def test_small_tables_are_spread(spark):
     assert sources.spread_small(spark.range(10), "id").rdd.getNumPartitions() == 4
+
+
+def test_blank_ratings_take_no_slot(spark):
+    from primrose.operators.ratings import assign_slots, fill_rating_slots
+
+    articles = spark.createDataFrame([(1, "", "", "", "", "")], ["id", *[f"turk_rating{i}" for i in range(5)]])
+    given = ["", "", None, "", " ", "1"]
+    ratings = spark.createDataFrame([(1, r, "f", i) for i, r in enumerate(given)], "link_id long, rating string, file string, row_no int")
+    order = ["file", "row_no"]
+    assert fill_rating_slots(articles, ratings, order).first().turk_rating0 == "1"
+    stored = assign_slots(articles, ratings, order).collect()
+    assert [(r.rating, r.slot) for r in stored] == [("1", 0)]
+
+
+def test_common_term_is_dealt_over_tasks(spark):
+    from primrose.operators.features import join_by_term
+
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("every").alias("term"))
+    model = spark.createDataFrame([("every", 2.0), ("never", 1.0)], "term string, w double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = join_by_term(rows, model.groupBy("term").agg(F.sum("w").alias("w")))
+        assert joined.filter("w = 2").count() == 4000
+        held = rows.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(16))).groupBy("s").count()
+        assert held.agg(F.max("count")).first()[0] < 4000 / 16 * 1.4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
