@@ -219,7 +219,8 @@ def _regions(nodes: DataFrame) -> DataFrame:
         counts = kept_table(
             rows.groupBy("tree", key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "regions"
         )
-        rows = rows.join(counts, ["tree", key])
+        # As below: one plan at every size.
+        rows = rows.join(counts.hint("merge"), ["tree", key])
         fits = rows if key == "lows" else rows.filter(F.col("n") <= REGION_ROWS)
         block = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / REGION_ROWS)).cast("int")
         parts.append(fits.select("tree", F.col(key).alias("key"), block.alias("block"), "node"))
