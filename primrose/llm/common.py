@@ -17,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 SALTS = 16
+HOT_SHARE = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,27 @@ def salted_left_join(
     return a.join(b, [*on, "__salt"], "left").drop("__salt")
 
 
+def hot_left_join(
+    left: DataFrame, right: DataFrame, key: str, spread: Column, rows: str, total: int, salts: int = SALTS
+) -> DataFrame:
+    """As :func:`salted_left_join`, where only hot keys are dealt.
+
+    ``right`` has one row for each key; its column ``rows``, dropped here, says
+    how many rows of ``left`` the key has at most, and ``total`` is about their
+    sum. A key with more than ``total / HOT_SHARE`` rows is hot: there are at
+    most ``HOT_SHARE`` of these, whatever the input, so their names can be
+    broadcast. All other keys are exchanged once and ``right`` is not repeated
+    for them.
+    """
+    limit = max(total // HOT_SHARE, 1000)
+    hot = right.filter(F.col(rows) > limit).select(key, F.lit(True).alias("__hot"))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0))
+    a = left.join(F.broadcast(hot), key, "left").withColumn("__salt", salt.cast("int")).drop("__hot")
+    last = F.when(F.col(rows) > limit, F.lit(salts - 1)).otherwise(F.lit(0))
+    b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), last))).drop(rows)
+    return a.join(b, [key, "__salt"], "left").drop("__salt")
+
+
 class WordHashes(dict):
     """Word bytes -> 64-bit hash; forgets all when it grows past ``bound``."""
 
@@ -106,16 +128,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(),
         "edges",
     )
-    before = None
+    before, links = None, here.count()
     while True:
         # large star: every neighbour above u moves to the least neighbour of u
         both = here.union(here.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        up = salted_left_join(both.filter("v > u"), least, ["u"], F.col("v"))
+        least = both.groupBy("u").agg(
+            F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")
+        )
+        up = hot_left_join(both.filter("v > u"), least, "u", F.col("v"), "n", 2 * links)
         large = up.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: neighbours below u, and u itself, move to the least one
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = salted_left_join(large, low, ["u"], F.col("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        down = hot_left_join(large, low, "u", F.col("v"), "n", links)
         small = down.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         here = kept_table(small.filter("u <> v").distinct(), "edges")
         state = here.agg(
@@ -123,7 +147,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         ).first()
         if state == before:
             break
-        before = state
+        before, links = state, state[0]
     leaves = here.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = leaves.select("root").distinct()
     return leaves.union(roots.select(F.col("root").alias("node"), "root"))

@@ -14,9 +14,9 @@ from primrose.llm.common import (
     WordHashes,
     components,
     gram_hashes,
+    hot_left_join,
     kept_table,
     run_starts,
-    salted_left_join,
     whole_runs,
 )
 from primrose.session import ship_package
@@ -122,8 +122,8 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
 
 def _candidate_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning links of the candidate graph in each region."""
-    for table in whole_runs(batches, ("tree", "key", "block")):
-        keys = [table.column(k).to_numpy() for k in ("tree", "key", "block")]
+    for table in whole_runs(batches, ("key", "block")):
+        keys = [table.column(k).to_numpy() for k in ("key", "block")]
         nodes = table.column("node").to_pylist()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(nodes), -1)
         cuts = run_starts(keys)
@@ -205,25 +205,26 @@ def _confirm(percent: int):
 
 
 def _regions(nodes: DataFrame) -> DataFrame:
-    """``(tree, key, block, node)``: regions of the forest of two to
-    ``REGION_ROWS`` nodes. A region is a common prefix of two hashes in a
-    tree's order; where it holds more nodes than that, of four, then of all
-    eight; nodes that agree in all eight are dealt into blocks by a hash that
-    differs by tree. A node alone in its region takes no part."""
+    """``(key, block, node)``: regions of the forest of two to ``REGION_ROWS``
+    nodes. A region is a common prefix of two hashes in a tree's order; where
+    it holds more nodes than that, of four, then of all eight; nodes that agree
+    in all eight are dealt into blocks by a hash that differs by tree. A node
+    alone in its region takes no part, and is gone after the first level; what
+    is left is written, so that deeper levels exchange only that."""
+    levels = ("tops", "mids", "lows")
+    # The number of the tree is part of every key.
     rows = nodes.select(
         "node",
-        F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(TREES - 1)).alias("tree"), "tops", "mids", "lows")).alias("t"),
-    ).select("node", "t.tree", "t.tops", "t.mids", "t.lows")
+        F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(TREES - 1)).alias("tree"), *levels)).alias("t"),
+    ).select("node", *[F.xxhash64("t.tree", f"t.{k}").alias(k) for k in levels])
     parts = []
-    for key in ("tops", "mids", "lows"):
-        counts = kept_table(
-            rows.groupBy("tree", key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "regions"
-        )
+    for key in levels:
+        counts = kept_table(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
         # As below: one plan at every size.
-        rows = rows.join(counts.hint("merge"), ["tree", key])
+        rows = kept_table(rows.join(counts.hint("merge"), key), "regions")
         fits = rows if key == "lows" else rows.filter(F.col("n") <= REGION_ROWS)
-        block = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / REGION_ROWS)).cast("int")
-        parts.append(fits.select("tree", F.col(key).alias("key"), block.alias("block"), "node"))
+        block = F.pmod(F.xxhash64("node", key), F.ceil(F.col("n") / REGION_ROWS)).cast("int")
+        parts.append(fits.select(F.col(key).alias("key"), block.alias("block"), "node"))
         if counts.filter(F.col("n") > REGION_ROWS).isEmpty():
             break
         rows = rows.filter(F.col("n") > REGION_ROWS).drop("n")
@@ -268,7 +269,7 @@ def near_duplicates(
         "nodes",
     )
     regions = _regions(nodes).join(nodes.select("node", "sig"), "node")
-    sorted_regions = regions.repartition("tree", "key", "block").sortWithinPartitions("tree", "key", "block")
+    sorted_regions = regions.repartition("key", "block").sortWithinPartitions("key", "block")
     maybe = sorted_regions.mapInArrow(_candidate_links, "a binary, b binary").distinct()
     clusters = kept_table(components(maybe).withColumnRenamed("root", "cluster"), "clusters")
 
@@ -302,9 +303,11 @@ def near_duplicates(
     told = (
         named.join(smallest, "component", "left")
         .filter((F.col("copies") > 1) | F.col("smallest").isNotNull())
-        .select("node", F.coalesce("smallest", "least").alias("smallest"))
+        .select("node", F.coalesce("smallest", "least").alias("smallest"), "copies")
+    )
+    done = hot_left_join(
+        signed.select("id", "node", "n_shingles"), told, "node", F.col("id"), "copies", signed.count()
     )
-    done = salted_left_join(signed.select("id", "node", "n_shingles"), told, ["node"], F.col("id"))
     component = F.coalesce("smallest", "id")
     return done.select(
         F.col("id").alias(id_col),
