@@ -6,6 +6,8 @@ read: no exchange is needed before the first aggregation over documents.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,22 +16,18 @@ from primrose.functions.stopwords import STOP_WORDS
 # ASCII punctuation in code-point order.
 PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
-# Markup removed before tags, tags, and entities (in order).
+# Markup removed before tags, tags, and what an entity looks like
+# after its ampersand.
 HIDDEN_MARKUP = (
     r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
     r"|<!--.*?-->|<!doctype[^>]*>"
 )
 TAG = r"<[^>]*>"
-ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", "\u00a0"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-]
+
+ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# All named characters, from Python's own table.
+_NAMED = "\x01".join(f"{n[:-1]}\x02{c}" for n, c in html5.items() if n.endswith(";"))
+_LATE = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160))
 
 WORD_OR_SYMBOLS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 TWO_LETTERS = r"[\p{L}\p{N}_]{2,}"
@@ -45,16 +43,59 @@ def none_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit("None"))
 
 
+def _character(name: Column) -> Column:
+    """What the entity ``name`` stands for; null if there is no such entity.
+
+    Numbers 128 to 159 mean that code page; numbers of no character become
+    the replacement character.
+    """
+    named = F.str_to_map(F.lit(_NAMED), F.lit("\x01"), F.lit("\x02"))
+    number = F.when(
+        name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)
+    ).when(name.startswith("#"), F.substr(name, F.lit(2)))
+
+    def numbered(code: Column) -> Column:
+        utf32 = F.unhex(F.lpad(F.hex(code), 8, "0"))
+        return (
+            F.when(code.between(128, 159), F.substr(F.lit(_LATE), (code - 127).cast("int"), F.lit(1)))
+            .when(
+                (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("�")
+            )
+            .otherwise(F.decode(utf32, "UTF-32"))
+        )
+
+    return F.when(number.isNotNull(), let(number.cast("long"), numbered)).otherwise(
+        F.try_element_at(named, name)
+    )
+
+
+def decoded_entities(text: Column) -> Column:
+    """Named and numeric entities that end in a semicolon as characters.
+
+    Each is read once, so an escaped ampersand starts no new entity; what is
+    no entity stays as it is. Texts without an ampersand are not touched.
+    """
+
+    def read(piece: Column, i: Column) -> Column:
+        name = F.regexp_extract(piece, ENTITY, 1)
+        written = F.concat(F.lit("&"), piece)
+        rest = F.substr(piece, F.length(name) + 2)
+        return F.when(i == 0, piece).when(name == "", written).otherwise(
+            F.coalesce(F.concat(_character(name), rest), written)
+        )
+
+    decoded = F.array_join(F.transform(F.split(text, "&"), read), "")
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
-    """Visible text: tags dropped without a separator, ends stripped, newline
-    to space.
+    """Visible text: tags dropped without a separator, entities decoded, ends
+    stripped, newline to space.
 
     Deviation: script and style text is dropped as well.
     """
     text = F.regexp_replace(html, HIDDEN_MARKUP, "")
-    text = F.regexp_replace(text, TAG, "")
-    for entity, character in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
+    text = decoded_entities(F.regexp_replace(text, TAG, ""))
     text = F.regexp_replace(text, r"^\s+|\s+$", "")
     return F.replace(text, F.lit("\n"), F.lit(" "))
 

@@ -27,8 +27,8 @@ MIN_FREQ = 3
 MIN_WORD_LEN = 3
 TOP_BIGRAMS = 1000
 
-# Selections up to this size are matched inside the row; larger ones by join.
-INLINE_SELECTION = 10_000
+# The largest selection a fitted model keeps as one constant.
+NAMED_SELECTION = 10_000
 
 
 def _counted(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -214,7 +214,7 @@ def _bigram_names(text: Column) -> Column:
     )
 
 
-def selected_names(selected: DataFrame, limit: int = INLINE_SELECTION) -> list[str] | None:
+def selected_names(selected: DataFrame, limit: int = NAMED_SELECTION) -> list[str] | None:
     """The selected bigrams as text, or ``None`` when they are more than
     ``limit``; at most ``limit + 1`` rows reach the driver."""
     rows = selected.select("w1", "w2").limit(limit + 1).collect()
@@ -232,26 +232,20 @@ def present_bigrams(text: Column, names: list[str]) -> Column:
     return F.array_intersect(_bigram_names(text), chosen)
 
 
-def bigram_presence(
-    docs: DataFrame, selected: DataFrame, inline: int = INLINE_SELECTION
-) -> DataFrame:
+def bigram_presence(docs: DataFrame, selected: DataFrame) -> DataFrame:
     """``present``: the selected bigrams each document holds, sorted; every
     other selected bigram is false for it.
 
-    A selection of up to ``inline`` bigrams is intersected inside each row,
-    without an exchange. A larger one is joined by bigram and regrouped.
+    One lazy plan, whatever the size of the selection: the distinct bigrams of
+    a document are joined with it (a very common one is dealt over several
+    tasks) and what matches is regrouped. ``doc_id`` is unique.
     """
-    names = selected_names(selected, inline)
-    if names is not None:
-        return docs.select(
-            "doc_id", F.sort_array(present_bigrams(F.col("text"), names)).alias("present")
-        )
     pairs = docs.select(
         "doc_id", F.explode(F.array_distinct(_bigram_names(F.col("text")))).alias("bigram")
     )
     wanted = selected.select(F.concat_ws(" ", "w1", "w2").alias("bigram")).distinct()
     held = (
-        pairs.join(wanted, "bigram", "left_semi")
+        join_by_term(pairs, wanted, "bigram")
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list("bigram")).alias("present"))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from functools import lru_cache, reduce
 from multiprocessing.pool import ThreadPool
@@ -41,6 +42,7 @@ from primrose.operators.features import (
     top_bigrams,
 )
 from primrose.operators.metrics import cv_summary, fold_f1
+from primrose.operators.rank import dist_rank
 
 # --- naive Bayes ------------------------------------------------------------
 
@@ -165,6 +167,24 @@ def naive_bayes_predict(
     )
 
 
+def bayes_probabilities(scored: DataFrame) -> DataFrame:
+    """``(doc_id, p0, p1)`` from the scores of :func:`naive_bayes_predict`.
+
+    Scores further apart than 700 give 0 and 1 in double precision anyway.
+    """
+    gap = F.least(
+        F.greatest(F.col("score0") - F.col("score1"), F.lit(-700.0)), F.lit(700.0)
+    )
+    return scored.select("doc_id", (1 / (1 + F.exp(gap))).alias("p1")).select(
+        "doc_id", (1 - F.col("p1")).alias("p0"), "p1"
+    )
+
+
+def bayes_coefficients(weights: DataFrame) -> DataFrame:
+    """``(feature, coef)``: what a feature adds to the log odds of label 1."""
+    return weights.select("feature", (F.log("true_p1") - F.log("true_p0")).alias("coef"))
+
+
 # --- vectors ----------------------------------------------------------------
 
 COUNT_MODELS = ("Basic", "InvDocFreq", "BasicBigram")
@@ -282,17 +302,21 @@ def _fit(estimator, df: DataFrame):
         vectors.unpersist()
 
 
-def fit_logistic(df: DataFrame, max_iter: int = 20) -> LogisticRegressionModel:
+def fit_logistic(df: DataFrame, max_iter: int = 300) -> LogisticRegressionModel:
     """Log loss with an elastic-net penalty on ``features`` and ``label``.
 
-    Deviation: full-batch optimisation in place of stochastic steps.
+    Deviation: full-batch optimisation in place of stochastic steps. It runs
+    until it converges; that ``max_iter`` steps were not enough is a warning.
     """
-    return _fit(
+    model = _fit(
         LogisticRegression(
             elasticNetParam=0.15, regParam=1e-4, standardization=False, maxIter=max_iter
         ),
         df,
     )
+    if model.summary.totalIterations >= max_iter:
+        warnings.warn(f"not converged after {max_iter} iterations", stacklevel=2)
+    return model
 
 
 _BLOCK = 256  # projection rows made together
@@ -417,15 +441,19 @@ def coefficients(
     )
 
 
-def fold_number(key: Column, folds: int = 10) -> Column:
-    """Fold of a row, by its key."""
-    return F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")
+def stratified_folds(df: DataFrame, folds: int = 10, key: str = "doc_id") -> DataFrame:
+    """``(key, fold)``: positions in the order of label and key hash, modulo
+    ``folds``. The sizes of two folds differ by at most one row in each label.
+    ``key`` is unique."""
+    order = ["label", "__h", key]
+    ranked = dist_rank(df.select(key, "label", F.xxhash64(key).alias("__h")), order)
+    return ranked.select(key, ((F.col("rank") - 1) % folds).cast("int").alias("fold"))
 
 
 def cross_validate_f1(
     df: DataFrame, folds: int = 10, fit=fit_logistic, parallelism: int = 4
 ) -> DataFrame:
-    """F1 of class 1 per fold, folds by hash of ``doc_id``.
+    """F1 of class 1 per fold, over stratified folds.
 
     ``df`` has ``doc_id``, ``features``, ``label``. Each fit is a distributed
     job over the cached vectors; ``parallelism`` of them run side by side.
@@ -433,7 +461,7 @@ def cross_validate_f1(
     spark = df.sparkSession
     tagged = (
         df.select("doc_id", "features", "label")
-        .withColumn("fold", fold_number(F.col("doc_id"), folds))
+        .join(stratified_folds(df, folds), "doc_id")
         .persist()
     )
     tagged.count()

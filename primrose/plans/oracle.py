@@ -7,7 +7,7 @@ expressions are shared. A query without an entry fits a model.
 from __future__ import annotations
 
 from primrose.functions.stopwords import STOP_WORDS
-from primrose.functions.text import ENTITIES, PUNCTUATION
+from primrose.functions.text import PUNCTUATION
 from primrose.plans.queries import CAPTURE_CAP, CHUNK_LIMIT
 from primrose.plans.views import (
     ARTICLE_COLS,
@@ -46,6 +46,19 @@ def key_of(link: str) -> str:
     return f"CAST('0x' || substr(md5({link}), 1, 15) AS BIGINT)"
 
 
+# The entities the given pages hold (others are proved by contract tests).
+ENTITIES = [
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&#39;", "'"),
+    ("&nbsp;", "\u00a0"),
+    ("&copy;", "©"),
+    ("&middot;", "·"),
+    ("&amp;", "&"),
+]
+
+
 def visible(html: str) -> str:
     hidden = (
         r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
@@ -259,6 +272,12 @@ def chunked(limit: int) -> str:
 SELECT id, filename, size, {{extra}} (running - size) // {limit} AS chunk FROM run"""
 
 
+PROBA = f"""WITH {BAYES}, sums AS (SELECT doc_id, sum(ln(pt0)) AS g0, sum(ln(pt1)) AS g1
+          FROM ({PRESENCE}) JOIN probs USING (feature) GROUP BY doc_id),
+        gaps AS (SELECT d.doc_id, greatest(least(l0 + coalesce(g0, 0) - l1 - coalesce(g1, 0), 700.0::DOUBLE),
+          -700.0::DOUBLE) AS gap FROM documents d LEFT JOIN sums USING (doc_id), prior)
+        SELECT doc_id, round(1 - 1 / (1 + exp(gap)), 6) AS p0, round(1 / (1 + exp(gap)), 6) AS p1 FROM gaps"""
+
 ORACLE: dict[str, str] = {
     # sources
     "scan_articles": f"""WITH {ARTICLES} SELECT id, link, title, parser_content, reporter_content,
@@ -507,6 +526,15 @@ ORACLE: dict[str, str] = {
           FROM labelled d LEFT JOIN sums USING (doc_id), prior, every)
         SELECT doc_id, round(s0, 6) AS score0, round(s1, 6) AS score1,
         CASE WHEN s1 >= s0 THEN 1 ELSE 0 END AS prediction FROM scores""",
+    "predict_proba_bayes": PROBA,
+    "write_probabilities_bayes": PROBA,
+    "coefficient_density_bayes": f"""WITH {BAYES} SELECT count(*) AS dimensionality,
+        round(avg(CASE WHEN ln(pt1) - ln(pt0) <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS density
+        FROM probs""",
+    "top_coefficients_bayes": f"""WITH {BAYES}, coefs AS (SELECT feature, ln(pt1) - ln(pt0) AS coef FROM probs),
+        placed AS (SELECT *, row_number() OVER (ORDER BY coef DESC, feature) AS place FROM coefs)
+        SELECT feature, round(coef, 9) AS coef, CAST(place AS INT) AS place,
+        CAST((place - 1) // 10 + 1 AS INT) AS band FROM placed WHERE place <= 30""",
     # streams
     "stream_capture": CAPTURED,
     "stream_bounded": f"WITH {MESSAGES} SELECT text, possibly_sensitive, source, lang {BOUNDED}",

@@ -966,6 +966,48 @@ def naive_bayes_predict_bigrams(v: Views) -> DataFrame:
     return predicted.select("doc_id", r6("score0"), r6("score1"), "prediction")
 
 
+def _bayes_scores(v: Views) -> DataFrame:
+    weights = models.naive_bayes_weights(_bayes_input(v), _bayes_labels(v))
+    return models.naive_bayes_predict(
+        weights, _bayes_labels(v), v.documents, features.word_presence(v.documents)
+    )
+
+
+@query
+def predict_proba_bayes(v: Views) -> DataFrame:
+    return models.bayes_probabilities(_bayes_scores(v)).select("doc_id", r6("p0"), r6("p1"))
+
+
+@query
+def write_probabilities_bayes(v: Views) -> DataFrame:
+    """Written as CSV and read back."""
+    path = scratch_path(v.spark, "proba-bayes")
+    sources.write_probabilities(models.bayes_probabilities(_bayes_scores(v)), path)
+    back = v.spark.read.option("header", True).schema("doc_id long, p0 double, p1 double").option(
+        "enforceSchema", True
+    ).csv(path)
+    return back.select("doc_id", r6("p0"), r6("p1"))
+
+
+def _bayes_coefficients(v: Views) -> DataFrame:
+    return models.bayes_coefficients(
+        models.naive_bayes_weights(_bayes_input(v), _bayes_labels(v))
+    )
+
+
+@query
+def coefficient_density_bayes(v: Views) -> DataFrame:
+    found = metrics.coefficient_density(_bayes_coefficients(v))
+    return found.withColumn("density", F.round("density", 9))
+
+
+@query
+def top_coefficients_bayes(v: Views) -> DataFrame:
+    return metrics.top_coefficients(_bayes_coefficients(v)).withColumn(
+        "coef", F.round("coef", 9)
+    )
+
+
 def _model_parts(v: Views, model_type: str) -> tuple[models.Featurizer, DataFrame, DataFrame]:
     docs = v.labelled_documents
     parts = split.train_test_split(docs, key="doc_id")
@@ -1100,4 +1142,6 @@ def stream_ratings(v: Views) -> DataFrame:
     sources.write_table_version(v.slots, table, 0)
     source = v.stream("lineitem").selectExpr(*RATING_COLS)
     _drain(streaming.stream_ratings(source, table, mark, RATING_ORDER))
-    return v.spark.read.parquet(f"{table}/version=1")
+    versions = v.spark.read.parquet(table)
+    newest = versions.agg(F.max("version").alias("version")).scalar()
+    return versions.filter(F.col("version") == newest).drop("version")

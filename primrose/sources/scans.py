@@ -96,8 +96,9 @@ def scan_id_grid(spark: SparkSession, path: str, columns: int = 2) -> DataFrame:
 def scan_latest_snapshot(spark: SparkSession, path: str, part: str) -> DataFrame:
     """Saved positions of one part from the newest snapshot.
 
-    Part and time are partition columns: the newest time is found from the
-    folder names and only its files are read.
+    Part and time are partition columns. To find the newest time the footers
+    of this part's files are opened, without a data column; then only the files
+    of that time are read.
     """
     saved = spark.read.parquet(path).filter(F.col("part") == part)
     newest = saved.agg(F.max("snapshot_ts").alias("ts"))

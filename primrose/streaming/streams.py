@@ -55,12 +55,15 @@ def stream_bounded(
     """As :func:`stream_capture`, up to ``cap`` messages.
 
     A batch takes what the earlier batches left over of the cap; only their
-    row count is read. Batches after that are empty.
+    row count is read. Once the cap is reached, batches are neither read nor
+    written.
     """
 
     def take(batch: DataFrame, number: int) -> None:
         earlier = _batches(batch.sparkSession, out, number)
         left = cap - (earlier.count() if earlier is not None else 0)
+        if earlier is not None and left <= 0:
+            return
         kept = bounded_capture(filter_messages(batch), max(left, 0), order)
         project_messages(kept).write.mode("overwrite").parquet(f"{out}/batch={number}")
 

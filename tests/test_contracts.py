@@ -1,6 +1,7 @@
 """Edge cases on tiny frames."""
 
 import datetime
+import html
 import math
 from collections import defaultdict
 
@@ -82,6 +83,16 @@ def test_html_to_text(spark):
     assert one(spark, fn.html_to_text, html) == "A&lt;b C\u00a0d"
 
 
+def test_entities(spark):
+    text = (
+        "a&rsquo;b&#8217;c&#x2019;d&hellip;&amp;&notin;&Aacute;&#146;&#128512; &nosuch; &amp;lt; R&D; a & b&"
+        "&#xD800;&#0;&NotEqualTilde;"
+    )
+    assert one(spark, fn.html_to_text, text) == html.unescape(text)
+    assert one(spark, fn.html_to_text, "plain; text") == "plain; text"
+    assert one(spark, fn.html_to_text, None) is None
+
+
 def test_clip80(spark):
     assert one(spark, fn.clip80, "x" * 80) == "x" * 80
     assert one(spark, fn.clip80, "x" * 81) == "x" * 77 + "..."
@@ -356,10 +367,11 @@ def test_top_bigrams_by_hand(docs):
     assert all(abs(x[0] - y[0]) < 1e-12 for x, y in zip(got, expected))
 
 
-def test_presence_inline_and_joined_agree(docs):
+def test_presence_by_join_and_in_the_row_agree(docs):
     chosen = features.top_bigrams(docs)
-    inline = features.bigram_presence(docs, chosen)
-    joined = features.bigram_presence(docs, chosen, inline=0)
+    joined = features.bigram_presence(docs, chosen)
+    within = features.present_bigrams(F.col("text"), features.selected_names(chosen))
+    inline = docs.select("doc_id", F.sort_array(within).alias("present"))
     as_map = lambda df: {r.doc_id: r.present for r in df.collect()}
     assert as_map(inline) == as_map(joined)
     names = features.selected_names(chosen)
@@ -495,3 +507,13 @@ def test_common_term_is_dealt_over_tasks(spark):
         assert held.agg(F.max("count")).first()[0] < 4000 / 16 * 1.4
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stratified_folds(spark):
+    rows = spark.range(103).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 9 == 0, 1.0).otherwise(0.0).alias("label")
+    )
+    sizes = rows.join(models.stratified_folds(rows), "doc_id").groupBy("label", "fold").count().collect()
+    for label in (0.0, 1.0):
+        counts = [r["count"] for r in sizes if r.label == label]
+        assert len(counts) == 10 and max(counts) - min(counts) <= 1
