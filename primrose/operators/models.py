@@ -302,11 +302,11 @@ def _fit(estimator, df: DataFrame):
         vectors.unpersist()
 
 
-def fit_logistic(df: DataFrame, max_iter: int = 300) -> LogisticRegressionModel:
+def fit_logistic(df: DataFrame, max_iter: int = 20) -> LogisticRegressionModel:
     """Log loss with an elastic-net penalty on ``features`` and ``label``.
 
-    Deviation: full-batch optimisation in place of stochastic steps. It runs
-    until it converges; that ``max_iter`` steps were not enough is a warning.
+    Deviation: full-batch optimisation in place of stochastic steps. It ends
+    after ``max_iter`` steps; that these were not enough is a warning.
     """
     model = _fit(
         LogisticRegression(
