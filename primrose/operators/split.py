@@ -31,8 +31,8 @@ def train_test_split(
 
     Only the last train row has to be found, not every rank. Hashes are even,
     so rows are counted per leading hash digits (65,536 buckets at most); the
-    bucket holding the cut, 1/65,536 of the rows, is ranked; every other row is
-    compared with the cut in place, without an exchange. The narrow frame of
+    bucket holding the cut, 1/65,536 of the rows, is ranked by range partitions;
+    every other row is compared with the cut in place, without an exchange. The narrow frame of
     keys and hashes is pinned, so what ``df`` reads is read once.
     """
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
@@ -54,14 +54,11 @@ def train_test_split(
         .filter((F.col("before") < F.col("train_rows")) & (F.col("upto") >= F.col("train_rows")))
         .select(F.struct("__b", "before", "train_rows").alias("edge"))
     )
-    in_edge = (
-        hashed.withColumn("edge", edge.scalar())
-        .filter(bucket == F.col("edge.__b"))
-        .withColumn("rank", F.col("edge.before") + F.row_number().over(W.orderBy("__h", key)))
-    )
-    last = in_edge.filter(F.col("rank") == F.col("edge.train_rows")).select(
-        place.alias("last")
-    )
+    in_edge = hashed.withColumn("edge", edge.scalar()).filter(bucket == F.col("edge.__b"))
+    ranked = dist_rank(in_edge, ["__h", key])
+    last = ranked.filter(
+        F.col("edge.before") + F.col("rank") == F.col("edge.train_rows")
+    ).select(place.alias("last"))
     return hashed.select(
         key, F.when(place <= last.scalar(), "train").otherwise("test").alias("part")
     )
