@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.accumulators import Accumulator, AccumulatorParam
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from primrose.session import ship_package
 CAPACITY = 2048
 GROUP_PIECES = 8192
 SEARCH_NODES = 2000
+SEARCH_DIVES = 3
+WORST_BINS = (16, 64, 256)
 CHOICES = 6
 _PIECES = pa.schema(
     [
@@ -175,60 +178,113 @@ def completions(sizes: list[int], counts: dict[int, int], room: int, choices: in
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     taken: dict[int, int] = {}
-    tries = 0
-
-    def undominated(chosen: tuple[int, ...], slack: int) -> bool:
-        for size in sizes:
-            if counts[size] - taken.get(size, 0) > 0:
-                if size <= slack:
-                    return False
-                if any(c < size <= c + slack for c in chosen):
-                    return False
+    below = [-s for s in sizes]
+
+    def first(start: int, end: int) -> int:
+        """The first size of a range of which one is left."""
+        while start < end and counts[sizes[start]] <= taken.get(sizes[start], 0):
+            start += 1
+        return start
+
+    def fitting(start: int, slack: int) -> int:
+        return first(max(start, bisect.bisect_left(below, -slack)), len(sizes))
+
+    def undominated(chosen: list[int], slack: int) -> bool:
+        if not slack:
+            return True
+        if fitting(0, slack) < len(sizes):
+            return False
+        for c in set(chosen):
+            end = bisect.bisect_left(below, -sizes[c])
+            if first(bisect.bisect_left(below, -sizes[c] - slack), end) < end:
+                return False
         return True
 
-    def extend(start: int, slack: int, chosen: tuple[int, ...]) -> None:
-        nonlocal tries
+    chosen: list[int] = []  # places in sizes
+    slack, k, tries = room, fitting(0, room), 0
+    if k == len(sizes):
+        return [()]
+    # No recursion: a bin may hold as many pieces as it has tokens.
+    while True:
+        if k < len(sizes):
+            chosen.append(k)
+            taken[sizes[k]] = taken.get(sizes[k], 0) + 1
+            slack -= sizes[k]
+            k = fitting(k, slack)
+            if k == len(sizes) and undominated(chosen, slack):
+                bisect.insort(found, (slack, tuple(sizes[c] for c in chosen)))
+            continue
         tries += 1
-        if tries > 50 * choices or (found and found[0][0] == 0 and len(found) >= choices):
-            return
-        grew = False
-        for k in range(start, len(sizes)):
-            size = sizes[k]
-            if size <= slack and counts[size] - taken.get(size, 0) > 0:
-                grew = True
-                taken[size] = taken.get(size, 0) + 1
-                extend(k, slack - size, (*chosen, size))
-                taken[size] -= 1
-                if tries > 50 * choices:
-                    break
-        if not grew and undominated(chosen, slack):
-            bisect.insort(found, (slack, chosen))
-
-    extend(0, room, ())
-    return [chosen for _, chosen in found[:choices]]
+        enough = len(found) >= choices and found[choices - 1][0] == 0
+        if not chosen or enough or (found and tries > 50 * choices):
+            break
+        last = chosen.pop()
+        taken[sizes[last]] -= 1
+        slack += sizes[last]
+        k = fitting(last + 1, slack)
+    return [c for _, c in found[:choices]]
 
 
 def bin_completion(
-    sizes: list[int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES, choices: int = CHOICES
+    sizes: list[int],
+    capacity: int = CAPACITY,
+    nodes: int = SEARCH_NODES,
+    choices: int = CHOICES,
+    told: dict[str, int] | None = None,
 ) -> list[list[int]]:
     """Indexes of ``sizes`` (each at most ``capacity``) by bin.
 
-    Best fit decreasing is the first incumbent. While it needs more bins than
-    the total size asks for, a depth-first search fills the bin of the largest
-    size left with each undominated completion; a branch ends when its waste
-    leaves no room to beat the incumbent. The search stops at the lower bound
-    or after ``nodes`` bins tried; then the incumbent stands.
+    Full pieces are bins of their own. Best fit decreasing of the others is the
+    first incumbent. While it needs more bins than the total size asks for, a
+    depth-first search fills the bin of the largest size left with each
+    undominated completion; a branch ends when its waste leaves no room to beat
+    the incumbent. The search stops at the lower bound or after ``nodes`` bins
+    tried, or ``SEARCH_DIVES`` times the lower bound if that is more, so that
+    it can reach the last bin however many there are. Then the pieces of the
+    worst filled bins alone (``WORST_BINS``) are searched in the same way; what
+    they save is kept, and the incumbent stands.
+
+    ``told`` gets ``bins``, ``least`` (lower bound), ``searched`` (1 unless best
+    fit meets the bound), ``leaves`` (packings in fewer bins that the searches
+    reached) and ``cut`` (searches ended by their number of nodes).
     """
+    full = [[i] for i, s in enumerate(sizes) if s == capacity]
+    rest = [i for i, s in enumerate(sizes) if s < capacity]
+    told = {} if told is None else told
+    told |= {"searched": 0, "leaves": 0, "cut": 0}
+
+    def search(some: list[int]) -> list[list[int]]:
+        found = _search([sizes[i] for i in some], capacity, nodes, choices, told)
+        return [[some[i] for i in b] for b in found]
+
+    best = search(rest)
+    least = -(-sum(sizes[i] for i in rest) // capacity)
+    for many in WORST_BINS:
+        better = True
+        while better and len(best) > max(least, 1):
+            best.sort(key=lambda b: sum(sizes[i] for i in b))
+            worst = sorted(i for b in best[:many] for i in b)
+            again = search(worst)
+            better = len(again) < min(many, len(best))
+            if better:
+                best = again + best[many:]
+    told |= {"bins": len(full) + len(best), "least": len(full) + least}
+    return full + best
+
+
+def _search(sizes: list[int], capacity: int, nodes: int, choices: int, told: dict[str, int]) -> list[list[int]]:
+    """One search of :func:`bin_completion`, from best fit on."""
     best = best_fit(sizes, capacity)
     total = sum(sizes)
     least = -(-total // capacity)
     if len(best) <= least:
         return best
+    told["searched"] = 1
     counts: dict[int, int] = {}
     for s in sizes:
         counts[s] = counts.get(s, 0) + 1
     order = sorted(counts, reverse=True)
-    budget = nodes
+    budget = max(nodes, SEARCH_DIVES * least)
     # Each level: completions still to try for its bin, and the one in use.
     levels: list[tuple[int, list[tuple[int, ...]]]] = []
     used: list[tuple[int, ...]] = []
@@ -269,22 +325,38 @@ def bin_completion(
             continue
         packed = [(levels[i][0], *used[i]) for i in range(len(used))]
         if len(packed) < len(best):
+            told["leaves"] += 1
             where: dict[int, list[int]] = {}
             for i, s in enumerate(sizes):
                 where.setdefault(s, []).append(i)
             best = [[where[s].pop() for s in b] for b in packed]
         if len(best) <= least:
             break
+    told["cut"] += budget <= 0 and len(best) > least
     return best
 
 
-def _pack(capacity: int):
+class Tally(AccumulatorParam):
+    """Sums by name: what the packing of each group told."""
+
+    def zero(self, value: dict[str, int]) -> dict[str, int]:
+        return {}
+
+    def addInPlace(self, value1: dict[str, int], value2: dict[str, int]) -> dict[str, int]:
+        return {k: value1.get(k, 0) + value2.get(k, 0) for k in {*value1, *value2}}
+
+
+def _pack(capacity: int, tally: Accumulator | None):
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc", "ascending"), ("piece", "ascending")])
         lengths = table.column("length").to_pylist()
         group = table.column("group")[0].as_py()
         sequence, offset = [0] * len(lengths), [0] * len(lengths)
-        for number, members in enumerate(bin_completion(lengths, capacity)):
+        told: dict[str, int] = {}
+        bins = bin_completion(lengths, capacity, told=told)
+        if tally is not None:
+            tally.add({"groups": 1, "reached": int(told["leaves"] > 0), **told})
+        for number, members in enumerate(bins):
             at = 0
             for i in members:
                 sequence[i], offset[i] = (group << 32) + number, at
@@ -304,6 +376,7 @@ def pack_documents(
     capacity: int = CAPACITY,
     end_id: int = 0,
     group_pieces: int = GROUP_PIECES,
+    tally: Accumulator | None = None,
 ) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most
     ``capacity`` tokens: id, ``piece, start, length, ids_crc32, sequence_id,
@@ -318,6 +391,9 @@ def pack_documents(
     Null and empty texts are a piece of one end token. Null ids and repeated
     rows are packed as rows of their own. An empty table gives an empty result.
     The tokenizer file must lie at ``tokenizer_path`` on every executor.
+    ``tally`` (an accumulator of :class:`Tally`) gets, once the result is made,
+    ``groups``, how many of them ``reached`` a better packing than best fit, and
+    the sums of what :func:`bin_completion` told.
     """
     ship_package(docs.sparkSession)
     names = "doc long, piece int, start long, length long, ids_crc32 long"
@@ -333,5 +409,5 @@ def pack_documents(
     dealt = pieces.withColumn(
         "group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(1)), F.lit(groups))
     )
-    packed = dealt.groupBy("group").applyInArrow(_pack(capacity), names + ", sequence_id long, offset long")
+    packed = dealt.groupBy("group").applyInArrow(_pack(capacity, tally), names + ", sequence_id long, offset long")
     return packed.withColumnRenamed("doc", id_col)

@@ -225,6 +225,30 @@ def test_bin_completion_is_optimal_on_small_cases():
     assert len(packing.bin_completion([4, 4, 3, 3, 3, 3], 10)) == 2
 
 
+def test_search_reaches_the_last_bin_of_a_whole_group():
+    """A group of 8,192 pieces in 2,389 bins, with full pieces before them."""
+    sizes = [1028] * 1364 + [520] * 1025 + [510] * (2 * 1364 + 1025) + [509] * 2050
+    assert len(sizes) == packing.GROUP_PIECES and len(packing.best_fit(sizes, 2048)) == 2646
+    told = {}
+    packed = packing.bin_completion([2048] * 300 + sizes, told=told)
+    assert sorted(i for b in packed for i in b) == list(range(300 + len(sizes)))
+    assert all(sum(([2048] * 300 + sizes)[i] for i in b) <= 2048 for b in packed)
+    assert len(packed) == told["bins"] == told["least"] == 300 + 2389
+    assert told["leaves"] and not told["cut"]
+    # Fillings of very many pieces.
+    assert len(packing.bin_completion([1500, 1500, 700, 700] + [1] * 1700, 2048)) == 3
+    assert packing.completions([1], {1: 2000}, 1900, 6) == [(1,) * 1900]
+
+
+def test_packing_tells_what_the_search_reached(spark):
+    tally = spark.sparkContext.accumulator({}, packing.Tally())
+    docs = spark.createDataFrame([(i, "a b c") for i in range(40)], "doc_id long, text string")
+    packing.pack_documents(docs, tokenizer_path(), group_pieces=20, tally=tally).collect()
+    assert tally.value["groups"] == 2 and tally.value["bins"] == tally.value["least"] == 2
+    assert tally.value["reached"] == tally.value["searched"] == 0
+
+
+
 def test_language_id(spark, docs, rows, empty):
     rng = random.Random(2)
     en, de = ["the", "thing", "that", "with"], ["der", "schach", "und", "ein"]
