@@ -66,6 +66,7 @@ def mix_sources(
     cap: float = 3.0,
     weight: Column | None = None,
     seed: int = 7,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per document: the id, ``size`` (words), ``source_size``,
     ``target`` of its source, ``copies`` and ``taken`` (words the mix takes).
@@ -81,6 +82,10 @@ def mix_sources(
     Running sums are by range partitions (``dist_running_sum``), so a source
     may hold any share of the rows; only ids, sizes and keys move.
 
+    ``row_col``, a column that is unique and not null, is carried through, so
+    that the result can be joined back where ids repeat or are null; it settles
+    ties, too. Ids alone still give the keys.
+
     Null text has size 0. Null source is a source of its own, the last. Null
     ids share one u. Rows that repeat are rows of their own. Documents of size
     0 take nothing. An empty table gives an empty result.
@@ -88,31 +93,35 @@ def mix_sources(
     words = word_count(F.col(text_col))
     quality = F.coalesce(weight if weight is not None else text_weight(F.col(text_col), words), F.lit(0.0))
     u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    row = [] if row_col is None else [F.col(row_col).alias("__mix_row")]
     sizes = pin(
         docs.select(
             F.col(id_col).alias("__id"),
+            *row,
             F.col(source_col).alias("source"),
             words.alias("size"),
             (-F.log(u) / F.greatest(quality, F.lit(1e-6))).alias("__key"),
         )
     )
+    row = row and ["__mix_row"]
     targets = source_targets(sizes, weights, cap)
     # Null sources must meet too: joined by (is null, value).
     key = [F.col("source").isNull().alias("__null"), F.coalesce("source", F.lit("")).alias("__source")]
     keyed = salted_left_join(
-        sizes.select("__id", "size", "__key", *key),
+        sizes.select("__id", *row, "size", "__key", *key),
         targets.select(*key, "source_size", "target"),
         ["__null", "__source"],
-        F.struct("__id"),
+        F.struct("__id", *row),
     )
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     planned = keyed.withColumn("__epochs", epochs.cast("long")).withColumn(
         "__rest", F.col("target") - F.col("__epochs") * F.col("source_size")
     )
-    summed = dist_running_sum(planned, ["__null", "__source"], ["__key", "__id", "size"], {"__upto": "size"})
+    summed = dist_running_sum(planned, ["__null", "__source"], ["__key", "__id", "size", *row], {"__upto": "size"})
     chosen = (F.col("__upto") - F.col("size") / 2 <= F.col("__rest")) & (F.col("size") > 0)
     return summed.withColumn("copies", F.col("__epochs") + chosen.cast("long")).select(
         F.col("__id").alias(id_col),
+        *[F.col(c).alias(row_col) for c in row],
         "size",
         "source_size",
         "target",

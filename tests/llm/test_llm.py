@@ -499,3 +499,30 @@ def test_pipeline_stages(spark):
     assert len([i for i in good if i in after["quality"]]) >= 0.9 * len(good)  # 70 rows to learn from
     packed = p.packing_stage(spark, docs, SMALL)
     assert sorted(r.doc_id for r in packed.filter("piece = 0").collect()) == after["mixing"]
+
+
+def test_pipeline_stages_decide_on_rows(spark):
+    """Null and repeated ids: a decision belongs to its row."""
+    import corpus_pipeline as p
+
+    rng = random.Random(9)
+    a, b, c, d, e = (words(rng, 60, 5000) for _ in range(5))
+    near = " ".join(["other", *b.split()[1:]])
+    # id, text, name of the row: exact copies under one id, a loser whose id has
+    # another row that stays, unique and equal texts without an id.
+    rows = [(1, a, "a1"), (1, a, "a2"), (2, b, "b2"), (1, b.upper(), "b1"), (1, c, "c1"), (None, d, "d"), (None, d, "d'")]
+    rows += [(None, c, "c"), (None, e, "e"), (3, near, "n3"), (2, near + " x", "n2"), (None, near + " y", "n"), (4, None, "z")]
+    docs = spark.createDataFrame([(*r, "en", 1) for r in rows], "doc_id long, text string, source string, lang string, n_chars long")
+
+    def names(df):
+        return sorted(r.source for r in df.collect())
+
+    exact_kept = names(p.exact_stage(spark, docs.coalesce(1), SMALL))
+    assert exact_kept == sorted(["a2", "b2", "c1", "d'", "e", "n3", "n2", "n", "z"])
+    # Groups: a; b and all n (b1 has the least id); c; d; e; z.
+    assert names(p.near_stage(spark, docs.coalesce(1), SMALL)) == sorted(["a1", "b1", "c1", "d", "e", "z"])
+    one = docs.withColumn("name", F.col("source")).withColumn("source", F.lit("s"))
+    mix = mixing.mix_sources(one.withColumn("r", F.monotonically_increasing_id()), weights=(1.0,), row_col="r")
+    assert {r.copies for r in mix.collect() if r["size"]} == {1}
+    taken = p.mixing_stage(spark, one, SMALL)
+    assert sorted(r.name for r in taken.collect()) == sorted(n for _, t, n in rows if t)
