@@ -24,7 +24,7 @@ from primrose.session import ship_package
 SHINGLE = 5
 PERCENT = 75
 TREES = 12
-DEPTH = 8  # hashes of a tree
+DEPTH = 8  # hashes of a tree; its regions are by the first two
 REGION_ROWS = 2048
 BLOCK_ROWS = 1024
 # Four and a half standard deviations of the estimate from 96 hashes at 0.75.
@@ -38,12 +38,10 @@ _SIGNED = pa.schema(
         ("node", pa.binary()),
         ("n_shingles", pa.int64()),
         ("tops", pa.list_(pa.int64())),
-        ("mids", pa.list_(pa.int64())),
-        ("lows", pa.list_(pa.int64())),
         ("sig", pa.binary()),
     ]
 )
-_SIGNED_SQL = "id long, node binary, n_shingles long, tops array<long>, mids array<long>, lows array<long>, sig binary"
+_SIGNED_SQL = "id long, node binary, n_shingles long, tops array<long>, sig binary"
 _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
@@ -75,19 +73,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows["id"].append(ids[i])
                 rows["n_shingles"].append(len(s))
                 if not len(s):
-                    for k in ("node", "tops", "mids", "lows", "sig"):
+                    for k in ("node", "tops", "sig"):
                         rows[k].append(None)
                     continue
                 sig = signature(s)
                 wide = sig.view(np.int64).reshape(TREES, DEPTH // 2)
                 rows["node"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 rows["tops"].append(wide[:, 0])
-                rows["mids"].append((wide[:, 0] * np.int64(-7046029254386353131)) ^ wide[:, 1])
-                rows["lows"].append(
-                    ((wide[:, 0] * np.int64(-7046029254386353131)) ^ wide[:, 1]) * np.int64(-4417276706812531889)
-                    ^ (wide[:, 2] * np.int64(-8663945395140668459))
-                    ^ wide[:, 3]
-                )
                 rows["sig"].append(sig.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_pydict(rows, _SIGNED)
 
@@ -121,9 +113,11 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _candidate_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links of the candidate graph in each region."""
-    for table in whole_runs(batches, ("key", "block")):
-        keys = [table.column(k).to_numpy() for k in ("key", "block")]
+    """Spanning links of the candidate graph in each region, or in two blocks
+    of a large one."""
+    names = ("key", "low", "high")
+    for table in whole_runs(batches, names):
+        keys = [table.column(k).to_numpy() for k in names]
         nodes = table.column("node").to_pylist()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(nodes), -1)
         cuts = run_starts(keys)
@@ -205,33 +199,29 @@ def _confirm(percent: int):
 
 
 def _regions(nodes: DataFrame) -> DataFrame:
-    """``(key, block, node)``: regions of the forest of two to ``REGION_ROWS``
-    nodes. A region is a common prefix of two hashes in a tree's order; where
-    it holds more nodes than that, of four, then of all eight; nodes that agree
-    in all eight are dealt into blocks by a hash that differs by tree. A node
-    alone in its region takes no part, and is gone after the first level; what
-    is left is written, so that deeper levels exchange only that."""
-    levels = ("tops", "mids", "lows")
-    # The number of the tree is part of every key.
+    """``(key, low, high, node)``: what meets in a task. A region is a common
+    prefix of two hashes in a tree's order. One of more than ``REGION_ROWS``
+    nodes is dealt into blocks of about half as many, by a hash that differs by
+    tree, and every two blocks meet: all pairs of a region are compared, however
+    large it is. A node alone in its region takes no part."""
     rows = nodes.select(
-        "node",
-        F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(TREES - 1)).alias("tree"), *levels)).alias("t"),
-    ).select("node", *[F.xxhash64("t.tree", f"t.{k}").alias(k) for k in levels])
-    parts = []
-    for key in levels:
-        counts = kept_table(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
-        # As below: one plan at every size.
-        rows = kept_table(rows.join(counts.hint("merge"), key), "regions")
-        fits = rows if key == "lows" else rows.filter(F.col("n") <= REGION_ROWS)
-        block = F.pmod(F.xxhash64("node", key), F.ceil(F.col("n") / REGION_ROWS)).cast("int")
-        parts.append(fits.select(F.col(key).alias("key"), block.alias("block"), "node"))
-        if counts.filter(F.col("n") > REGION_ROWS).isEmpty():
-            break
-        rows = rows.filter(F.col("n") > REGION_ROWS).drop("n")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        "node", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(TREES - 1)).alias("tree"), "tops")).alias("t")
+        # The number of the tree is part of every key.
+    ).select("node", F.xxhash64("t.tree", "t.tops").alias("key"))
+    counts = kept_table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    many = F.when(F.col("n") > REGION_ROWS, F.ceil(2 * F.col("n") / REGION_ROWS)).otherwise(1).cast("int")
+    # As below: one plan at every size.
+    placed = (
+        rows.join(counts.hint("merge"), "key")
+        .withColumn("many", many)
+        .withColumn("own", F.pmod(F.xxhash64("node", "key"), "many").cast("int"))
+    )
+    return (
+        kept_table(placed.select("key", "many", "own", "node"), "regions")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+        .filter("own <> other or many = 1")
+        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node")
+    )
 
 
 def near_duplicates(
@@ -244,7 +234,8 @@ def near_duplicates(
     96 hashes, inside the region's task; what leaves it is a spanning forest of
     the pairs that look near, so its links grow with the nodes, not the pairs.
     Its components are clusters, and two similar nodes lie in one cluster
-    unless no tree puts them together (probability 0.00005 at the threshold).
+    unless no tree puts them together (probability 0.00005 at the threshold, at
+    every size of the regions).
     Each cluster is confirmed on full sets; one of more than ``BLOCK_ROWS``
     nodes is dealt into blocks, and every two blocks meet in a task. There too
     only a spanning forest of the true links leaves the task. The components of
@@ -264,12 +255,12 @@ def near_duplicates(
         .agg(
             F.min("id").alias("least"),
             F.count(F.lit(1)).alias("copies"),
-            *[F.first(c).alias(c) for c in ("tops", "mids", "lows", "sig")],
+            *[F.first(c).alias(c) for c in ("tops", "sig")],
         ),
         "nodes",
     )
     regions = _regions(nodes).join(nodes.select("node", "sig"), "node")
-    sorted_regions = regions.repartition("key", "block").sortWithinPartitions("key", "block")
+    sorted_regions = regions.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     maybe = sorted_regions.mapInArrow(_candidate_links, "a binary, b binary").distinct()
     clusters = kept_table(components(maybe).withColumnRenamed("root", "cluster"), "clusters")
 

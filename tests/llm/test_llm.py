@@ -400,6 +400,22 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == components_of(rows)
 
 
+def test_near_duplicates_of_large_regions(spark, monkeypatch):
+    """Copies that are near to their base only, in regions of many blocks."""
+    monkeypatch.setattr(neardup, "REGION_ROWS", 4)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base), "", "", 1)]
+    for i in range(1, 80):
+        w = list(base)
+        for at in range(20, 200, 40):
+            w[at + rng.randrange(-15, 15)] = f"x{i}"
+        rows.append((i, " ".join(w), "", "", 1))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == components_of(rows)
+    assert {r.component_id for r in got} == {0}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 16)) * rng.uniform(0.5, 2, (1500, 1))
