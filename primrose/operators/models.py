@@ -302,11 +302,16 @@ def _fit(estimator, df: DataFrame):
         vectors.unpersist()
 
 
-def fit_logistic(df: DataFrame, max_iter: int = 20) -> LogisticRegressionModel:
+def _warn_unless_converged(steps: int, max_iter: int) -> None:
+    if steps >= max_iter:
+        warnings.warn(f"not converged after {max_iter} iterations", stacklevel=3)
+
+
+def fit_logistic(df: DataFrame, max_iter: int = 300) -> LogisticRegressionModel:
     """Log loss with an elastic-net penalty on ``features`` and ``label``.
 
-    Deviation: full-batch optimisation in place of stochastic steps. It ends
-    after ``max_iter`` steps; that these were not enough is a warning.
+    Deviation: full-batch optimisation in place of stochastic steps. It runs
+    until it converges; that ``max_iter`` steps were not enough is a warning.
     """
     model = _fit(
         LogisticRegression(
@@ -314,8 +319,7 @@ def fit_logistic(df: DataFrame, max_iter: int = 20) -> LogisticRegressionModel:
         ),
         df,
     )
-    if model.summary.totalIterations >= max_iter:
-        warnings.warn(f"not converged after {max_iter} iterations", stacklevel=2)
+    _warn_unless_converged(model.summary.totalIterations, max_iter)
     return model
 
 
@@ -394,12 +398,14 @@ class RbfSvm:
 
 
 def fit_rbf_svm(
-    df: DataFrame, n_features: int, dim: int = 256, seed: int = 7, max_iter: int = 20
+    df: DataFrame, n_features: int, dim: int = 256, seed: int = 7, max_iter: int = 300
 ) -> RbfSvm:
-    """``gamma`` is 1 / number of features, the usual default."""
+    """``gamma`` is 1 / number of features, the usual default. The fit runs
+    until it converges; that ``max_iter`` steps were not enough is a warning."""
     gamma = 1.0 / max(n_features, 1)
     mapped = fourier_features(df, gamma, dim, seed)
     linear = _fit(LinearSVC(regParam=1e-3, maxIter=max_iter), mapped)
+    _warn_unless_converged(linear.summary().totalIterations, max_iter)
     return RbfSvm(gamma, dim, seed, linear)
 
 

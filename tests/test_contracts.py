@@ -517,3 +517,24 @@ def test_stratified_folds(spark):
     for label in (0.0, 1.0):
         counts = [r["count"] for r in sizes if r.label == label]
         assert len(counts) == 10 and max(counts) - min(counts) <= 1
+
+
+def test_fits_run_to_convergence(spark):
+    """No warning at the default bound; one where a bound ends a fit."""
+    import random
+    import warnings
+
+    from pyspark.ml.linalg import Vectors
+
+    rng = random.Random(2)
+    rows = []
+    for _ in range(120):
+        x = [rng.gauss(0, 1) * (1 + j) for j in range(30)]
+        rows.append((Vectors.dense(x), int(x[0] + x[1] + rng.gauss(0, 1) > 0)))
+    df = spark.createDataFrame(rows, ["features", "label"]).coalesce(1)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        assert models.fit_logistic(df).summary.totalIterations > 20
+        models.fit_rbf_svm(df, 30, dim=16)
+    with pytest.warns(UserWarning, match="not converged after 1 iterations"):
+        models.fit_rbf_svm(df, 30, dim=16, max_iter=1)
