@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from primrose.llm import ann, exact, langid, mixing, neardup, packing, quality, substring, urlfilter, warc
+from primrose.llm import (
+    ann,
+    exact,
+    langid,
+    mixing,
+    neardup,
+    negatives,
+    packing,
+    quality,
+    substring,
+    tokencount,
+    urlfilter,
+    warc,
+    whitening,
+)
 from primrose.llm.common import held_out, table
 
 HOST_RULES = (
@@ -19,10 +33,10 @@ HOST_RULES = (
 MIX_WEIGHTS, MIX_CAP = (1.0, 2.0, 3.0), 3.0
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +92,19 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
+def whitening_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mix_sources,
     "op2_language_id": language_id,
@@ -89,4 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup,
     "op9_near_dedup": near_dedup,
     "op10_warc_round_trip": warc_round_trip,
+    "op11_token_counts": token_counts,
+    "op12_hard_negatives": hard_negatives,
+    "op13_whitening": whitening_components,
 }
