@@ -10,5 +10,7 @@
 ``corpus``    corpus statistics
 ``features``  document features and bigram selection
 ``models``    learning
+``logistic``  penalised logistic regression on distributed features
+``trees``     decision trees, level by level
 ``metrics``   prediction quality
 """

@@ -278,6 +278,51 @@ PROBA = f"""WITH {BAYES}, sums AS (SELECT doc_id, sum(ln(pt0)) AS g0, sum(ln(pt1
           -700.0::DOUBLE) AS gap FROM documents d LEFT JOIN sums USING (doc_id), prior)
         SELECT doc_id, round(1 - 1 / (1 + exp(gap)), 6) AS p0, round(1 / (1 + exp(gap)), 6) AS p1 FROM gaps"""
 
+def _bits(a: str, b: str) -> str:
+    """Entropy of two counts."""
+    part = "CASE WHEN {x} > 0 THEN -({x} / ({n})) * log2({x} / ({n})) ELSE 0 END"
+    return f"({part.format(x=a, n=f'{a} + {b}')} + {part.format(x=b, n=f'{a} + {b}')})"
+
+
+LABELLED_PARTS = """joined AS (SELECT doc_id, text, toxic FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL),
+doc_parts AS (SELECT doc_id, text, CASE WHEN r <= floor(n * 0.75) THEN 'train' ELSE 'test' END AS part
+  FROM (SELECT *, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'), doc_id) AS r,
+    count(*) OVER () AS n FROM joined))"""
+OPTIMALITY = f"""WITH {LABELLED_PARTS}, train AS ({terms_of("doc_parts WHERE part = 'train'", TWO_LETTERS, True)})
+SELECT term AS feature, count(*) AS docs, CAST(sum(n) AS BIGINT) AS total, true AS optimal FROM train GROUP BY term"""
+TREE = f"""WITH joined AS (SELECT doc_id, text, toxic AS label FROM documents JOIN labels USING (doc_id) WHERE toxic IN (0, 1)),
+has AS (SELECT DISTINCT doc_id, label, unnest({simple('text')}) AS feature FROM joined),
+n AS (SELECT CAST(count(*) FILTER (label = 0) AS DOUBLE) AS n0, CAST(count(*) FILTER (label = 1) AS DOUBLE) AS n1 FROM joined),
+t AS (SELECT feature, count(*) FILTER (label = 0) AS t0, count(*) FILTER (label = 1) AS t1
+  FROM has WHERE feature <> '' GROUP BY feature),
+g AS (SELECT *, n0 - t0 AS a0, n1 - t1 AS a1, t0::DOUBLE AS p0, t1::DOUBLE AS p1 FROM t, n WHERE t0 + t1 < n0 + n1),
+best AS (SELECT * FROM g WHERE round({_bits('n0', 'n1')} - ((p0 + p1) * {_bits('p0', 'p1')} + (a0 + a1) * {_bits('a0', 'a1')}) / (n0 + n1), 10) > 0
+  ORDER BY round({_bits('n0', 'n1')} - ((p0 + p1) * {_bits('p0', 'p1')} + (a0 + a1) * {_bits('a0', 'a1')}) / (n0 + n1), 10) DESC, feature LIMIT 1),
+nodes AS (SELECT '' AS node, n0, n1, (SELECT feature FROM best) AS split FROM n
+  UNION ALL SELECT '1', p0, p1, NULL FROM best UNION ALL SELECT '0', a0, a1, NULL FROM best)
+SELECT node, CAST(nodes.n0 AS BIGINT) AS n0, CAST(nodes.n1 AS BIGINT) AS n1, split,
+  CAST(n.n0 AS BIGINT) AS leaves_n0, CAST(n.n1 AS BIGINT) AS leaves_n1 FROM nodes, n"""
+
+BAYES_FOLDS = f"""WITH joined AS (SELECT doc_id, text, toxic AS label,
+    CAST((row_number() OVER (ORDER BY toxic, md5(CAST(doc_id AS VARCHAR)), doc_id) - 1) % 10 AS INT) AS fold
+  FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL),
+has AS (SELECT DISTINCT doc_id, label, fold, unnest({simple('text')}) AS feature FROM joined),
+own AS (SELECT feature, fold, count(*) FILTER (label = 0) AS t0, count(*) FILTER (label = 1) AS t1 FROM has GROUP BY ALL),
+every AS (SELECT feature, sum(t0) AS t0, sum(t1) AS t1 FROM own GROUP BY feature),
+size AS (SELECT fold, (SELECT count(*) FILTER (label = 0) FROM joined) - count(*) FILTER (label = 0) AS m0,
+  (SELECT count(*) FILTER (label = 1) FROM joined) - count(*) FILTER (label = 1) AS m1 FROM joined GROUP BY fold),
+model AS (SELECT o.feature, o.fold, e.t0 - o.t0 AS r0, e.t1 - o.t1 AS r1, m0, m1,
+    CASE WHEN m0 + m1 > e.t0 - o.t0 + e.t1 - o.t1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS b
+  FROM own o JOIN every e USING (feature) JOIN size USING (fold)),
+gains AS (SELECT doc_id, sum(ln((r0 + 0.5::DOUBLE) / (m0 + 0.5::DOUBLE * b))) AS g0,
+    sum(ln((r1 + 0.5::DOUBLE) / (m1 + 0.5::DOUBLE * b))) AS g1
+  FROM has JOIN model USING (feature, fold) WHERE r0 + r1 > 0 GROUP BY doc_id),
+judged AS (SELECT fold, label, CASE WHEN ln((m1 + 0.5::DOUBLE) / (m0 + m1 + 1.0::DOUBLE)) + coalesce(g1, 0)
+    >= ln((m0 + 0.5::DOUBLE) / (m0 + m1 + 1.0::DOUBLE)) + coalesce(g0, 0) THEN 1 ELSE 0 END AS prediction
+  FROM joined JOIN size USING (fold) LEFT JOIN gains USING (doc_id))
+SELECT fold, round(CASE WHEN sum(label + prediction) > 0 THEN 2.0::DOUBLE * sum(label * prediction) / sum(label + prediction)
+  ELSE 0 END, 6) AS f1 FROM judged GROUP BY fold"""
+
 ORACLE: dict[str, str] = {
     # sources
     "scan_articles": f"""WITH {ARTICLES} SELECT id, link, title, parser_content, reporter_content,
@@ -506,6 +551,9 @@ ORACLE: dict[str, str] = {
     "word_presence": PRESENCE,
     "parse_reply": f"WITH {REPLIES} SELECT id, title, content FROM parsed",
     # learning
+    "fit_logistic_optimality": OPTIMALITY,
+    "decision_tree_nodes": TREE,
+    "cross_validate_f1_bayes": BAYES_FOLDS,
     "naive_bayes_table": f"""WITH {BAYES} SELECT label, feature, value, n, round(prob, 9) AS prob FROM (
         SELECT 0 AS label, feature, 'true' AS value, t0 AS n, pt0 AS prob, t0 + t1 AS seen FROM probs
         UNION ALL SELECT 1, feature, 'true', t1, pt1, t0 + t1 FROM probs

@@ -31,11 +31,13 @@ from primrose.operators import (
     corpus,
     features,
     feeds,
+    logistic,
     messages,
     metrics,
     models,
     ratings,
     split,
+    trees,
     validity,
 )
 from primrose.operators.rank import dist_rank
@@ -1019,23 +1021,61 @@ def _model_parts(v: Views, model_type: str) -> tuple[models.Featurizer, DataFram
     )
 
 
+_LINEAR_FITS: dict[tuple[str, str, str], logistic.LogisticFit] = {}
+
+
+def _linear_parts(v: Views, model_type: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents and terms, of the train part and of the test part."""
+    docs = v.labelled_documents.filter("label IS NOT NULL")
+    parts = split.train_test_split(docs, key="doc_id")
+    joined = docs.join(parts, "doc_id")
+    train, test = (joined.filter(F.col("part") == p).drop("part") for p in ("train", "test"))
+    own, others = (logistic.linear_terms(d, train, model_type) for d in (train, test))
+    return train, own, test, others
+
+
+def _linear_fit(v: Views, model_type: str, train: DataFrame, terms: DataFrame) -> logistic.LogisticFit:
+    """The model of a type on the train part, fitted once per application."""
+    key = (v.spark.sparkContext.applicationId, v.folder, model_type)
+    if key not in _LINEAR_FITS:
+        _LINEAR_FITS[key] = logistic.fit_logistic_terms(terms, train.select("doc_id", "label"))
+    return _LINEAR_FITS[key]
+
+
+def _linear_margins(v: Views, model_type: str) -> tuple[DataFrame, DataFrame]:
+    """Margins and labels of the test part."""
+    train, terms, test, test_terms = _linear_parts(v, model_type)
+    fit = _linear_fit(v, model_type, train, terms)
+    return logistic.margins(fit, test, test_terms), test.select("doc_id", "label")
+
+
 @query
 def fit_logistic(v: Views) -> DataFrame:
     """Coefficients of the logistic model on unigram counts."""
-    fitted, train, _ = _model_parts(v, "Basic")
-    return models.coefficients(v.spark, models.fit_logistic(train), fitted.vocabulary)
+    train, terms, _, _ = _linear_parts(v, "Basic")
+    return _linear_fit(v, "Basic", train, terms).weights.select("feature", "coef")
+
+
+@query
+def fit_logistic_optimality(v: Views) -> DataFrame:
+    """Every feature of the model with its documents and count, and whether its
+    optimality condition, computed anew from the documents, is met."""
+    train, terms, _, _ = _linear_parts(v, "Basic")
+    fit = _linear_fit(v, "Basic", train, terms)
+    found = logistic.residuals(fit, terms, train.select("doc_id", "label"))
+    return found.select(
+        "feature", "docs", F.col("total").cast("long").alias("total"), (F.col("residual") <= 1.001e-3).alias("optimal")
+    )
 
 
 @query
 def fit_logistic_tfidf(v: Views) -> DataFrame:
-    _, train, test = _model_parts(v, "InvDocFreq")
-    return metrics.confusion_counts(models.predict(models.fit_logistic(train), test))
+    return metrics.confusion_counts(logistic.predictions(*_linear_margins(v, "InvDocFreq")))
 
 
 @query
 def fit_logistic_ngrams(v: Views) -> DataFrame:
-    _, train, test = _model_parts(v, "BasicBigram")
-    return metrics.confusion_counts(models.predict(models.fit_logistic(train), test))
+    return metrics.confusion_counts(logistic.predictions(*_linear_margins(v, "BasicBigram")))
 
 
 @query
@@ -1045,31 +1085,66 @@ def fit_rbf_svm(v: Views) -> DataFrame:
     return metrics.confusion_counts(models.predict(model, test))
 
 
+def _tree_documents(docs: DataFrame, selected: DataFrame) -> DataFrame:
+    presence = features.bigram_presence(docs, selected).withColumnRenamed("present", "features")
+    return presence.join(docs.select("doc_id", "label"), "doc_id")
+
+
+def _tree_scored(v: Views, criterion: str) -> DataFrame:
+    """Predictions for the test part of a tree on the selected bigrams."""
+    docs = v.labelled_documents.filter("label IS NOT NULL")
+    joined = docs.join(split.train_test_split(docs, key="doc_id"), "doc_id")
+    train, test = (joined.filter(F.col("part") == p).drop("part") for p in ("train", "test"))
+    selected = features.top_bigrams(train)
+    tree = trees.fit_tree(_tree_documents(train, selected), criterion)
+    held = _tree_documents(test, selected)
+    return trees.tree_predict(tree, held).join(held.select("doc_id", "label"), "doc_id")
+
+
 @query
 def fit_decision_tree(v: Views) -> DataFrame:
-    _, train, test = _model_parts(v, "NLTKBigram")
-    return metrics.confusion_counts(models.predict(models.fit_decision_tree(train), test))
+    return metrics.confusion_counts(_tree_scored(v, "entropy"))
+
+
+@query
+def fit_decision_tree_error(v: Views) -> DataFrame:
+    """Splits by the number of errors, as the original's classifier does."""
+    return metrics.confusion_counts(_tree_scored(v, "error"))
+
+
+@query
+def decision_tree_nodes(v: Views) -> DataFrame:
+    """The upper two levels of the tree on words, and what its leaves hold."""
+    words = F.array_distinct(tokens_of(F.col("text")))
+    docs = v.labelled_documents.select("doc_id", "label", F.filter(words, lambda w: w != "").alias("features"))
+    tree = trees.fit_tree(docs)
+    leaves = tree.filter(F.col("feature").isNull()).agg(
+        F.struct(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).alias("s")
+    )
+    return tree.filter(F.col("depth") <= 1).select(
+        "node",
+        "n0",
+        "n1",
+        F.when(F.col("depth") == 0, F.col("feature")).alias("split"),
+        leaves.scalar().getField("n0").alias("leaves_n0"),
+        leaves.scalar().getField("n1").alias("leaves_n1"),
+    )
 
 
 @query
 def predict(v: Views) -> DataFrame:
-    _, train, test = _model_parts(v, "Basic")
-    return models.predict(models.fit_logistic(train), test)
+    return logistic.predictions(*_linear_margins(v, "Basic"))
 
 
 @query
 def predict_proba(v: Views) -> DataFrame:
-    _, train, test = _model_parts(v, "Basic")
-    return models.predict_proba(models.fit_logistic(train), test)
+    return logistic.probabilities(_linear_margins(v, "Basic")[0])
 
 
 @query
 def write_probabilities(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "proba")
-    _, train, test = _model_parts(v, "BasicBigram")
-    sources.write_probabilities(
-        models.predict_proba(models.fit_logistic(train), test), path
-    )
+    sources.write_probabilities(logistic.probabilities(_linear_margins(v, "BasicBigram")[0]), path)
     return v.spark.read.option("header", True).schema(
         "doc_id long, `0` double, `1` double"
     ).csv(path)
@@ -1091,6 +1166,15 @@ def cross_validate_f1(v: Views) -> DataFrame:
     return models.cross_validate_f1(train)
 
 
+@query
+def cross_validate_f1_bayes(v: Views) -> DataFrame:
+    """Ten naive Bayes models from one aggregate, each judged on its own fold."""
+    labels = _bayes_labels(v).join(v.documents.select("doc_id"), "doc_id", "left_semi").filter("label IS NOT NULL")
+    folds = models.stratified_folds(labels, hashed=F.md5(F.col("doc_id").cast("string")))
+    found = models.cross_validate_bayes(features.word_presence(v.documents), labels.join(folds, "doc_id"))
+    return found.select("fold", r6("f1"))
+
+
 # --- streams ----------------------------------------------------------------
 
 

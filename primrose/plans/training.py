@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from primrose.operators import metrics, models
+from primrose.operators import logistic, metrics, models, trees
 from primrose.operators.annotate import add_content_columns
 from primrose.operators.corpus import corpus_stats
 from primrose.operators.features import (
@@ -68,12 +68,17 @@ def prepare(
 def _count_models(train: DataFrame, test: DataFrame, model_type: str) -> list[Evaluation]:
     fitted = models.fit_features(train, model_type)
     vectors, held_out = fitted.transform(train), fitted.transform(test)
-    linear = models.fit_logistic(vectors)
-    coefs = models.coefficients(train.sparkSession, linear, fitted.vocabulary)
+    labels = train.select("doc_id", "label")
+    linear = logistic.fit_logistic_terms(logistic.linear_terms(train, train, model_type), labels)
+    margins = logistic.margins(linear, test, logistic.linear_terms(test, train, model_type))
     kernel = models.fit_rbf_svm(vectors, len(fitted.vocabulary))
+    judged = {
+        "logistic": logistic.predictions(margins, test.select("doc_id", "label")),
+        "rbf_svm": models.predict(kernel, held_out),
+    }
+    coefs = linear.weights.select("feature", "coef")
     out = []
-    for name, model in (("logistic", linear), ("rbf_svm", kernel)):
-        pred = models.predict(model, held_out)
+    for name, pred in judged.items():
         out.append(
             Evaluation(
                 name,
@@ -87,7 +92,7 @@ def _count_models(train: DataFrame, test: DataFrame, model_type: str) -> list[Ev
     out[0].reports |= {
         "density": metrics.coefficient_density(coefs),
         "top_terms": metrics.top_coefficients(coefs),
-        "probabilities": models.predict_proba(linear, held_out),
+        "probabilities": logistic.probabilities(margins),
     }
     return out
 
@@ -112,9 +117,14 @@ def _presence_models(train: DataFrame, test: DataFrame, model_type: str) -> list
         weights, labels, test, presence_of(test, selected, model_type), absent
     ).join(test.select("doc_id", "label"), "doc_id")
 
-    fitted = models.fit_features(train, model_type)
-    tree = models.fit_decision_tree(fitted.transform(train))
-    grown = models.predict(tree, fitted.transform(test))
+    def tree_documents(docs: DataFrame) -> DataFrame:
+        held = presence_of(docs, selected, model_type).filter("feature <> ''")
+        arrays = held.groupBy("doc_id").agg(F.collect_set("feature").alias("features"))
+        return docs.select("doc_id", "label").join(arrays, "doc_id", "left")
+
+    held_out = tree_documents(test)
+    tree = trees.fit_tree(tree_documents(train))
+    grown = trees.tree_predict(tree, held_out).join(held_out.select("doc_id", "label"), "doc_id")
     return [
         Evaluation("decision_tree", grown, {"rates": metrics.precision_recall_f(grown)}),
         Evaluation(
