@@ -35,6 +35,8 @@ _PIECES = pa.schema(
 )
 # Fixed value: how byte-level vocabularies cut a text before merging.
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The pattern of the fast library backtracks over white space and gives up.
+_LONG_BLANK = re.compile(r"\s{2000}")
 _LATIN = re.compile("[\x00-\u024f\u2010-\u2027\u20ac]*\\Z")
 
 
@@ -87,19 +89,22 @@ class TokenIds:
         return [np.array(c.ids, "<u4").tobytes() for c in coded]
 
     def _plain(self, text: str) -> bool:
-        return bool(_LATIN.match(text)) and not any(s in text for s in self.special)
+        return bool(_LATIN.match(text)) and not _LONG_BLANK.search(text) and not any(s in text for s in self.special)
+
+    def _quick(self, text: str) -> bytes | None:
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        except ValueError:  # its pattern gave up
+            return None
 
     def of(self, texts: list[str]) -> list[bytes]:
         if self.fast is None or not texts:
             return self._slow(texts)
         plain = [self._plain(t) for t in texts]
-        out = [
-            self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() if ok else b""
-            for t, ok in zip(texts, plain, strict=True)
-        ]
-        if plain[0] and out[0] != self._slow(texts[:1])[0]:
-            plain = [False] * len(texts)
-        slow = [i for i, ok in enumerate(plain) if not ok]
+        out = [self._quick(t) if ok else None for t, ok in zip(texts, plain, strict=True)]
+        if out[0] is not None and out[0] != self._slow(texts[:1])[0]:
+            out = [None] * len(texts)
+        slow = [i for i, coded in enumerate(out) if coded is None]
         for i, coded in zip(slow, self._slow([texts[i] for i in slow]), strict=True):
             out[i] = coded
         return out
