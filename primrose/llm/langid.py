@@ -6,7 +6,7 @@ from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -214,20 +214,22 @@ def identify(
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            texts = batch["__text"].tolist()
+            texts = batch.column("__text").to_pylist()
             names: list[str] = []
             scores: list[float] = []
             for part in _parts(texts):
                 a, b = predict(part, known)
                 names += a
                 scores += b.tolist()
-            yield pd.DataFrame({id_col: batch[id_col], "lang_pred": names, "score": scores})
+            # Ids are handed on as they came, null or of any size.
+            found = [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(found, [id_col, "lang_pred", "score"])
 
     src = docs.select(id_col, F.col(text_col).alias("__text"))
-    return src.mapInPandas(label, f"`{id_col}` {kind}, lang_pred string, score double")
+    return src.mapInArrow(label, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def _parts(texts: list[str | None]) -> Iterator[list[str | None]]:
