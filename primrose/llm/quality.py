@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -233,16 +232,16 @@ def score_quality(
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["__text"].tolist()]
-            scores = score_texts(texts, shared.value)
-            yield pd.DataFrame(
-                {id_col: batch[id_col], "score": scores, "predicted": (scores >= threshold).astype(np.int32)}
-            )
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("__text").to_pylist()]
+            scores = np.asarray(score_texts(texts, shared.value), np.float64)
+            # Ids are handed on as they came, null or of any size.
+            found = [batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(found, [id_col, "score", "predicted"])
 
     src = docs.select(id_col, F.col(text_col).alias("__text"))
-    return src.mapInPandas(score, f"`{id_col}` {kind}, score double, predicted int")
+    return src.mapInArrow(score, f"`{id_col}` {kind}, score double, predicted int")
 
 
 def keep_good(
