@@ -304,7 +304,9 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
         "record_id long, url string, record_type string, refers_to long, payload_bytes long,"
         " payload_digest string, payload binary"
     )
-    entries = manifest.select("path", "records").repartition(F.col("path"))
+    # Dealt evenly over as many tasks as there are archives: a manifest is small
+    # in bytes, so without a number its rows would be put into one task.
+    entries = manifest.select("path", "records").repartition(max(1, manifest.count()))
     return entries.mapInArrow(_reader(with_payload), schema)
 
 
