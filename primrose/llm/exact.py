@@ -10,6 +10,7 @@ from primrose.llm.common import ascii_lower
 
 HOT_SHARE = 1000
 SALTS = 64
+HEAD_CHARS = 64
 
 
 def exact_groups(
@@ -17,9 +18,11 @@ def exact_groups(
 ) -> DataFrame:
     """Groups of rows whose normalised texts (A-Z lower-cased) are identical.
 
-    Rows are range-partitioned by sampled splitters of the normalised bytes and
+    Rows are range-partitioned by sampled splitters of the normalised texts and
     sorted there (externally, by Spark), so that equal texts are neighbours;
-    the window compares each text with its neighbour in full. Only a text with
+    the window compares each text with its neighbour in full. A splitter is the
+    first ``HEAD_CHARS`` characters and a hash of the rest, never a whole text:
+    the driver holds a few kilobytes of them however long the texts are. Only a text with
     more than 1/1000 of all rows is dealt over up to 64 neighbouring ranges by a
     salt; there are fewer than 1,000 such texts, so their hashes, and then the
     totals of their parts, are broadcast. Texts are exchanged once.
@@ -54,9 +57,10 @@ def exact_groups(
             "__salt",
             F.when(F.col("__hot"), F.pmod(F.xxhash64("__id"), F.lit(SALTS))).otherwise(F.lit(0)),
         )
-        .repartitionByRange("__norm", "__salt")
+        .withColumns({"__head": F.substring("__norm", 1, HEAD_CHARS), "__mix": F.xxhash64("__norm")})
+        .repartitionByRange("__head", "__mix", "__salt")
     )
-    run = W.partitionBy("__norm", "__salt")
+    run = W.partitionBy("__head", "__mix", "__salt", "__norm")
     order = F.asc_nulls_last("__id") if keep == "smallest" else F.desc_nulls_last("__id")
     runs = placed.select(
         "__id",
