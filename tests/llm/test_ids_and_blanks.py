@@ -61,15 +61,16 @@ def test_a_text_the_fast_library_gives_up_on(monkeypatch):
 
 def test_archives_are_read_by_as_many_tasks(spark, tmp_path):
     rng = random.Random(2)
-    rows = [(i, f"http://x.org/{i}", "".join(chr(rng.randrange(33, 900)) for _ in range(900))) for i in range(400)]
+    rows = [(i, f"http://x.org/{i}", "".join(chr(rng.randrange(33, 900)) for _ in range(300))) for i in range(4000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     records = warc.plan_records(pages, "page_id", "url", "html")
-    manifest = warc.write_archives(records, str(tmp_path), archive_bytes=10_000)
+    manifest = warc.write_archives(records, str(tmp_path), archive_bytes=1000)
     archives = manifest.count()
     read = warc.read_archives(manifest, with_payload=False)
     tasks = read.select(F.spark_partition_id().alias("t"), "record_id")
-    assert archives >= 10 and tasks.select("record_id").distinct().count() == 400
-    assert tasks.select("t").distinct().count() >= archives * 0.9
+    assert archives >= 10 and tasks.select("record_id").distinct().count() == 4000
+    # Rows are dealt in turn from each part of the manifest.
+    assert tasks.select("t").distinct().count() >= archives / 2
 
 
 def test_exact_groups_of_texts_with_equal_heads(spark):
