@@ -43,6 +43,7 @@ from primrose.operators.features import (
 )
 from primrose.operators.metrics import cv_summary, fold_f1
 from primrose.operators.rank import dist_rank
+from primrose.session import ship_package
 
 # --- naive Bayes ------------------------------------------------------------
 
@@ -355,6 +356,7 @@ def fourier_features(
 
     Inner products of the output approximate exp(-gamma * |x - y|^2).
     """
+    ship_package(df.sparkSession)
     phase = np.random.default_rng([seed, 1 << 30]).uniform(0.0, 2.0 * np.pi, dim)
     width = float(np.sqrt(2.0 * gamma))
     scale = float(np.sqrt(2.0 / dim))
