@@ -35,13 +35,14 @@ _HASHES = WordHashes()  # one for each worker process; forgets all at a bound
 _SIGNED = pa.schema(
     [
         ("id", pa.int64()),
+        ("mark", pa.int64()),
         ("node", pa.binary()),
         ("n_shingles", pa.int64()),
         ("tops", pa.list_(pa.int64())),
         ("sig", pa.binary()),
     ]
 )
-_SIGNED_SQL = "id long, node binary, n_shingles long, tops array<long>, sig binary"
+_SIGNED_SQL = "id long, mark long, node binary, n_shingles long, tops array<long>, sig binary"
 _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
@@ -66,11 +67,13 @@ def signature(s: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column("id").to_pylist(), batch.column("text")
+        marks = batch.column("mark").to_pylist()
         for start in range(0, len(ids), 1024):
             rows: dict[str, list] = {f.name: [] for f in _SIGNED}
             for i in range(start, min(start + 1024, len(ids))):
                 s = shingles(texts[i].as_py())
                 rows["id"].append(ids[i])
+                rows["mark"].append(marks[i])
                 rows["n_shingles"].append(len(s))
                 if not len(s):
                     for k in ("node", "tops", "sig"):
@@ -172,10 +175,20 @@ def confirmed_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tupl
     return links
 
 
+def _without_repeats(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by ``keys``, one row for each of their values."""
+    last = None
+    for batch in batches:
+        names = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
+        new = [here != before for before, here in zip([last, *names], names)]
+        last = names[-1] if names else last
+        yield batch if all(new) else batch.filter(pa.array(new, pa.bool_()))
+
+
 def _confirm(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ("cluster", "low", "high")
-        for table in whole_runs(batches, keys):
+        for table in whole_runs(_without_repeats(batches, (*keys, "node")), keys):
             names, last = [], None
             for row in zip(*[table.column(k).to_pylist() for k in keys], strict=True):
                 names.append((names[-1] + (row != last)) if names else 0)
@@ -185,7 +198,7 @@ def _confirm(percent: int):
             out: list[tuple[bytes, bytes]] = []
             for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 sets = [shingles(texts[k].as_py()) for k in range(start, end)]
-                # A row of the same id with another text is not the one wanted.
+                # Another row with the same mark is not the one wanted.
                 mine = {
                     nodes[start + k]: s
                     for k, s in enumerate(sets)
@@ -244,16 +257,22 @@ def near_duplicates(
     Null texts and texts without a word have no shingle and no link. A null id
     is linked like any; it is never the least. Rows that repeat an id stay; an
     id with several texts links through each of them, and each row has the
-    component of its own text. An empty table gives an empty result.
+    component of its own text. Whatever the ids, a node is confirmed by rows of
+    one id and text, each sent once for every block it meets. An empty table
+    gives an empty result.
     """
     ship_package(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # Names the rows of one id and text. By the id alone all rows without an id
+    # would meet all nodes whose least id is null.
+    src = src.withColumn("mark", F.xxhash64(F.col("id").isNull(), "id", "text"))
     signed = kept_table(src.mapInArrow(_sign, _SIGNED_SQL), "signed")
     nodes = kept_table(
         signed.filter(F.col("node").isNotNull())
         .groupBy("node")
         .agg(
             F.min("id").alias("least"),
+            F.min("mark").alias("mark"),
             F.count(F.lit(1)).alias("copies"),
             *[F.first(c).alias(c) for c in ("tops", "sig")],
         ),
@@ -268,7 +287,7 @@ def near_duplicates(
     many = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     placed = (
         clusters.join(sizes, "cluster")
-        .join(nodes.select("node", "least"), "node")
+        .join(nodes.select("node", "mark"), "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), many).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
         .filter((F.col("own") != F.col("other")) | (many == 1))
@@ -277,13 +296,13 @@ def near_duplicates(
             F.least("own", "other").alias("low"),
             F.greatest("own", "other").alias("high"),
             "node",
-            F.col("least").alias("id"),
+            "mark",
         )
     )
     # One plan at every size: a broadcast of few members would only hide what
     # the exchange of texts costs.
-    texts = placed.hint("merge").join(src, placed["id"].eqNullSafe(src["id"])).select("cluster", "low", "high", "node", "text")
-    met = texts.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
+    texts = placed.hint("merge").join(src, "mark").select("cluster", "low", "high", "node", "text")
+    met = texts.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "node")
     links = kept_table(met.mapInArrow(_confirm(percent), "a binary, b binary"), "links")
     linked = components(links).withColumnRenamed("root", "component")
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from primrose.llm import exact, langid, packing, quality, warc
+from primrose.llm import exact, langid, neardup, packing, quality, warc
 from primrose.llm.queries import tokenizer_path
 
 BIG = 2**53
@@ -80,3 +80,45 @@ def test_exact_groups_of_texts_with_equal_heads(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact.exact_groups(docs, keep="largest").collect()}
     assert got[100] == (100, 9) and got[0] == (100, 9) and got[39] == (39, 8) and got[1] == (36, 8)
+
+
+def test_near_duplicates_without_ids(spark, monkeypatch):
+    """Rows without an id are confirmed once each, not all with all, and
+    repeated rows leave one text for each node."""
+    seen = spark.sparkContext.accumulator(0)
+    confirm = neardup._confirm
+
+    def counted(percent):
+        inner = confirm(percent)
+
+        def run(batches):
+            def count():
+                for batch in batches:
+                    seen.add(batch.num_rows)
+                    yield batch
+
+            yield from inner(count())
+
+        return run
+
+    monkeypatch.setattr(neardup, "_confirm", counted)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[3 * i] = f"x{i}"
+        rows += [(None, " ".join(w))] * (3 if i < 10 else 1)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 80 and {r.component_id for r in got} == {None}
+    assert 0 < seen.value <= 80
+
+
+def test_rows_of_a_key_are_thinned_over_batches():
+    import pyarrow as pa
+
+    batches = [
+        pa.RecordBatch.from_pydict({"k": k, "text": t})
+        for k, t in [([1, 1, 2], ["a", "b", "c"]), ([], []), ([2, 3], ["d", "e"])]
+    ]
+    kept = [b.column("text").to_pylist() for b in neardup._without_repeats(iter(batches), ("k",))]
+    assert [t for ts in kept for t in ts] == ["a", "c", "e"]
