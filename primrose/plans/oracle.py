@@ -262,6 +262,12 @@ CAPTURED = (
     f"WITH {MESSAGES} SELECT text, possibly_sensitive, source, lang FROM messages"
     " WHERE possibly_sensitive IS NOT NULL AND lang = 'en'"
 )
+CRAWLED_LINKS = f"""WITH {EXPLODED}, {FETCHED} SELECT e.id, e.pos, e.link,
+  CASE WHEN f.link IS NULL THEN 'error visiting' ELSE 'None' END AS errors,
+  coalesce(f.link_actual, 'None') AS link_actual,
+  CASE WHEN f.page_text IS NULL OR f.page_text = '' OR regexp_matches(f.page_text, '[_{{}}]')
+    THEN 'None' ELSE f.page_text END AS page_text, true AS crawled
+  FROM exploded e LEFT JOIN fetched f ON e.link = f.link"""
 BOUNDED = f"""FROM messages WHERE possibly_sensitive IS NOT NULL AND lang = 'en'
   ORDER BY ts, id LIMIT {CAPTURE_CAP}"""
 
@@ -586,13 +592,10 @@ ORACLE: dict[str, str] = {
     # streams
     "stream_capture": CAPTURED,
     "stream_bounded": f"WITH {MESSAGES} SELECT text, possibly_sensitive, source, lang {BOUNDED}",
-    "stream_links": f"""WITH {EXPLODED}, {FETCHED} SELECT e.id, e.pos, e.link,
-        CASE WHEN f.link IS NULL THEN 'error visiting' ELSE 'None' END AS errors,
-        coalesce(f.link_actual, 'None') AS link_actual,
-        CASE WHEN f.page_text IS NULL OR f.page_text = '' OR regexp_matches(f.page_text, '[_{{}}]')
-          THEN 'None' ELSE f.page_text END AS page_text, true AS crawled
-        FROM exploded e LEFT JOIN fetched f ON e.link = f.link""",
+    "stream_links": CRAWLED_LINKS,
+    "stream_message_table": CRAWLED_LINKS,
     "stream_new_articles": f"""WITH {FEEDS} SELECT id, link, flag FROM best
         WHERE id NOT IN (SELECT id FROM stored)""",
     "stream_ratings": f"WITH {FILLED} SELECT id, link, {', '.join(SLOTS)} FROM filled",
+    "stream_rating_changes": f"WITH {FILLED} SELECT id, link, {', '.join(SLOTS)} FROM filled",
 }

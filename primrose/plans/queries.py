@@ -1229,3 +1229,22 @@ def stream_ratings(v: Views) -> DataFrame:
     versions = v.spark.read.parquet(table)
     newest = versions.agg(F.max("version").alias("version")).scalar()
     return versions.filter(F.col("version") == newest).drop("version")
+
+
+@query
+def stream_message_table(v: Views) -> DataFrame:
+    """Appended, crawled and read back as one table."""
+    table = scratch_path(v.spark, "message-table")
+    marks = scratch_path(v.spark, "mark"), scratch_path(v.spark, "mark")
+    source = _message_stream(v).select("id", "text")
+    _drain(streaming.stream_appends(source, table, marks[0]))
+    _drain(streaming.stream_crawl(v.spark, v.fetched, table, marks[1]))
+    return streaming.read_message_table(v.spark, table).drop("row_id", "text")
+
+
+@query
+def stream_rating_changes(v: Views) -> DataFrame:
+    changes, mark = scratch_path(v.spark, "changes"), scratch_path(v.spark, "mark")
+    source = v.stream("lineitem").selectExpr(*RATING_COLS)
+    _drain(streaming.stream_rating_changes(source, v.slots, changes, mark, RATING_ORDER))
+    return streaming.rated_articles(v.slots, v.spark.read.parquet(changes))
