@@ -65,20 +65,51 @@ def ranked_terms(freqs: DataFrame) -> DataFrame:
 
 
 TERM_SALTS = 16
+# A term is common when it has more than this share of all rows; there are at
+# most that many common terms, whatever the input.
+COMMON_SHARE = 1024
+COMMON_ROWS = 1000
 
 
-def join_by_term(rows: DataFrame, model: DataFrame, term: str = "term") -> DataFrame:
+def join_by_term(
+    rows: DataFrame, model: DataFrame, term: str = "term", count: str | None = None
+) -> DataFrame:
     """``rows`` (with ``doc_id``) joined with ``model``, one row per term.
 
     A term may stand in every document. The model side is an aggregate, which
     leaves Spark no exchange to split, so the rows of a term are dealt over
-    ``TERM_SALTS`` tasks by document, and the model is repeated for each.
+    several tasks by document, and the model is repeated for each.
+
+    ``count`` names the column of ``model`` that says how many rows a term has,
+    at least roughly. Then only common terms are dealt, over as many tasks as
+    their share of all rows needs: at most ``COMMON_SHARE`` names are broadcast
+    and about twice as many model rows repeated. Counts that are null or wrong
+    cost time, never rows. Without ``count`` every term is dealt over
+    ``TERM_SALTS`` tasks.
     """
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(TERM_SALTS)).cast("int")
-    each = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1)))
+    if count is None:
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(TERM_SALTS)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1)))
+        return (
+            rows.withColumn("__salt", salt)
+            .join(model.withColumn("__salt", each), [term, "__salt"])
+            .drop("__salt")
+        )
+    # The join asks for this anyway; said here, all reads of the model are the
+    # same plan and its exchange is made once.
+    model = model.filter(F.col(term).isNotNull())
+    share = model.agg(F.sum(count).alias("__all")).scalar() / COMMON_SHARE
+    limit = F.greatest(share, F.lit(float(COMMON_ROWS)))
+    tasks = F.when(F.col(count) > limit, F.ceil(F.col(count) / limit)).otherwise(1).cast("int")
+    sized = model.withColumn("__tasks", tasks)
+    common = sized.filter("__tasks > 1").select(term, "__tasks")
+    dealt = F.pmod(F.xxhash64("doc_id"), F.coalesce("__tasks", F.lit(1))).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("__tasks") - 1))
     return (
-        rows.withColumn("__salt", salt)
-        .join(model.withColumn("__salt", each), [term, "__salt"])
+        rows.join(F.broadcast(common), term, "left")
+        .withColumn("__salt", dealt)
+        .drop("__tasks")
+        .join(sized.withColumn("__salt", each).drop("__tasks"), [term, "__salt"])
         .drop("__salt")
     )
 
@@ -96,7 +127,7 @@ def tfidf_terms(docs: DataFrame, fitted_on: DataFrame | None = None) -> DataFram
     n = base.agg(F.count(F.lit(1)).alias("docs")).scalar()
     idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0
     raw = (
-        join_by_term(tfidf_counts(docs), df)
+        join_by_term(tfidf_counts(docs), df, count="df")
         .select("doc_id", "term", (F.col("n") * idf).alias("w"))
     )
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id")))

@@ -538,3 +538,41 @@ def test_fits_run_to_convergence(spark):
         models.fit_rbf_svm(df, 30, dim=16)
     with pytest.warns(UserWarning, match="not converged after 1 iterations"):
         models.fit_rbf_svm(df, 30, dim=16, max_iter=1)
+
+
+def test_only_common_terms_are_dealt(spark, monkeypatch):
+    """One term stands in every document: no task has more than a share of it,
+    and a rare term has one model row."""
+    from primrose.operators import features
+
+    monkeypatch.setattr(features, "COMMON_SHARE", 16)
+    monkeypatch.setattr(features, "COMMON_ROWS", 10)
+    rows = spark.range(400).select(
+        F.col("id").alias("doc_id"),
+        F.explode(F.array(F.lit("the"), F.concat(F.lit("t"), F.col("id").cast("string")))).alias("term"),
+    )
+    model = features.document_frequencies(rows)
+    found = features.join_by_term(rows, model, count="df")
+    assert found.columns == ["term", "doc_id", "df"] and found.count() == 800
+    assert found.filter("df <> if(term = 'the', 400, 1)").count() == 0
+    # 800 rows in 16 shares of 50: the common term is dealt over eight tasks.
+    settings = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "64",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        the = features.join_by_term(rows, model, count="df").filter("term = 'the'")
+        tasks = the.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in tasks) == 400
+    assert 5 <= len(tasks) <= 8 and max(r["count"] for r in tasks) <= 200
+    # Counts that are missing or too small lose nothing.
+    odd = model.withColumn("df", F.when(F.col("term") == "the", F.lit(None).cast("long")).otherwise(0))
+    assert features.join_by_term(rows, odd, count="df").count() == 800
+    assert features.join_by_term(rows, model.limit(0), count="df").count() == 0
