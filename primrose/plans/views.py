@@ -148,14 +148,11 @@ class Views:
         return spread_small(read, TEXT_TABLES[name]) if name in TEXT_TABLES else read
 
     def stream(self, name: str) -> DataFrame:
-        """The files of a table as a stream."""
-        return (
-            self.spark.readStream.schema(
-                self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
-            )
-            .option("pathGlobFilter", f"{name}*.parquet")
-            .parquet(self.folder)
-        )
+        """The files of a table as a stream; a table is one file or a folder
+        of files."""
+        schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
+        # A stream takes a folder or a pattern; the pattern finds either kind.
+        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}[.]parquet")
 
     @cached_property
     def articles(self) -> DataFrame:

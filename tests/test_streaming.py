@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from primrose import sources, streaming
 from primrose.operators import messages, ratings
+from primrose.plans.queries import QUERIES
 from primrose.schemas import RATING_SLOTS
 
 
@@ -167,3 +168,16 @@ def test_a_repeated_rating_batch_changes_nothing(spark, tmp_path):
         finish(streaming.stream_rating_changes(source, slots, out, mark))
     seen.append(streaming.rated_articles(slots, spark.read.parquet(out)).first())
     assert seen[0] == seen[1] == seen[2] and seen[0][:4] == (1, "f0", "f1", "")
+
+
+@pytest.mark.parametrize("as_folder", [False, True])
+def test_new_articles_of_a_table_in_one_file_or_many(spark, tmp_path, as_folder):
+    """A table may be one parquet file or a folder of them."""
+    pages = [(1, "http://a.org/1?x", ""), (2, "https://a.org/2", ""), (3, "http://a.org/3#y", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    if as_folder:
+        df.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    else:
+        df.toPandas().to_parquet(tmp_path / "pages.parquet")
+    found = QUERIES["stream_new_articles"](spark, str(tmp_path))
+    assert sorted((r.link, r.flag) for r in found.collect()) == [("http://a.org/1?x", 1), ("http://a.org/3#y", 0)]
