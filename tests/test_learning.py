@@ -89,6 +89,28 @@ def test_logistic_bounds(spark):
     assert bare.weights.count() == 0
 
 
+def test_logistic_packs_by_marks_without_a_join(spark, monkeypatch):
+    """Cells are packed by a hash of their term that no other term has; the
+    vocabulary is not joined with the cells."""
+    rows, labels = corpus(random.Random(3), n=30)
+    terms = spark.createDataFrame(rows, "doc_id long, term string, value double")
+    marks = spark.createDataFrame(labels, "doc_id long, label int")
+
+    def joined(*_):
+        raise AssertionError("the vocabulary is joined with the cells")
+
+    monkeypatch.setattr(logistic, "join_by_term", joined)
+    want = logistic.fit_logistic_terms(terms, marks, reg=1e-2).weights.orderBy("feature").collect()
+    # A hash with collisions is given up for the next one.
+    good = logistic._mark
+    monkeypatch.setattr(logistic, "_mark", lambda seed: good(seed) if seed else F.length("term").cast("long").alias("mark"))
+    features, seed, _ = logistic.number_features(terms.filter("term IS NOT NULL"))
+    assert seed == 1 and features.select("mark").distinct().count() == features.count()
+    got = logistic.fit_logistic_terms(terms, marks, reg=1e-2).weights.orderBy("feature").collect()
+    assert [r["feature"] for r in got] == [r["feature"] for r in want]
+    assert all(abs(a["coef"] - b["coef"]) < 1e-9 for a, b in zip(got, want, strict=True))
+
+
 def weighed(n):
     return n * math.log2(n) if n else 0.0
 
