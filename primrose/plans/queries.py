@@ -51,6 +51,7 @@ QUERIES: dict[str, Query] = {}
 CHUNK_LIMIT = 4096  # small, so that several chunks appear
 CAPTURE_CAP = 500
 FEED_FILE_ITEMS = 500
+BATCH_FILE_ROWS = 1_000_000
 SNAPSHOT_TIMES = ("2013-12-05 16:17:00", "2013-12-07 11:41:00")
 
 
@@ -131,7 +132,10 @@ def _annotation_files(v: Views) -> str:
         else F.lit(f.name.lower()).alias(f.name)
         for f in ANNOTATION_RESULT.fields
     ]
-    v.grid.select(*columns).write.option("header", True).csv(path)
+    # Most cells of a batch file repeat from row to row. A compressed file is
+    # read by one task, so its rows are bounded.
+    packed = {"header": True, "compression": "gzip", "maxRecordsPerFile": BATCH_FILE_ROWS}
+    v.grid.select(*columns).write.options(**packed).csv(path)
     return path
 
 

@@ -172,3 +172,24 @@ def test_messages_to_pages(spark):
                                   "link string, link_actual string, page_text string")
     rows = ingest.crawled_messages(table, pages).collect()
     assert [(r.id, r.page_text, r.crawled) for r in rows] == [(1, "hi", True)]
+
+
+def test_annotation_files_are_packed_and_bounded(spark, tmp_path, monkeypatch):
+    """Batch files are compressed, hold at most so many rows, and give all rows back."""
+    import glob
+    import os
+
+    from primrose.plans import queries
+
+    monkeypatch.setattr(queries, "BATCH_FILE_ROWS", 300)
+    lines = spark.range(2000).selectExpr(
+        "id AS l_orderkey", "CAST(id % 7 AS INT) AS l_linenumber", "id AS l_partkey", "id AS l_suppkey",
+        "'R' AS l_returnflag", "'O' AS l_linestatus", "CAST(id % 50 AS DOUBLE) AS l_quantity")
+    lines.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    views = queries.Views(spark, str(tmp_path))
+    files = glob.glob(queries._annotation_files(views) + "/part-*")
+    assert len(files) == 7 and all(f.endswith(".gz") for f in files)
+    assert sum(map(os.path.getsize, files)) < 2000 * 100
+    columns = ["site1", "site2", "site3", "answer1", "answer2", "answer3"]
+    read = queries.QUERIES["scan_annotation_batches"](spark, str(tmp_path)).fillna("")
+    assert read.exceptAll(views.grid.select(*columns)).isEmpty() and read.count() == 2000
