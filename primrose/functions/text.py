@@ -133,12 +133,15 @@ def tfidf_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TWO_LETTERS), F.lit(0))
 
 
-def ngram_tokens(text: Column, low: int = 1, high: int = 2) -> Column:
-    """Stop-word-free ASCII words and their runs of ``low`` .. ``high``."""
-    words = _without_stop_words(
+def ngram_words(text: Column) -> Column:
+    """Lower-case ASCII words, stop words removed."""
+    return _without_stop_words(
         F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), F.lit(0))
     )
 
+
+def ngram_tokens(text: Column, low: int = 1, high: int = 2) -> Column:
+    """Stop-word-free ASCII words and their runs of ``low`` .. ``high``."""
     def runs(w: Column, n: int) -> Column:
         starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0)))
         if n == 1:
@@ -148,7 +151,7 @@ def ngram_tokens(text: Column, low: int = 1, high: int = 2) -> Column:
         )
 
     return let(
-        words, lambda w: F.concat(*[runs(w, n) for n in range(low, high + 1)])
+        ngram_words(text), lambda w: F.concat(*[runs(w, n) for n in range(low, high + 1)])
     )
 
 

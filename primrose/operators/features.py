@@ -7,6 +7,11 @@ the map side first, never token occurrences.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,12 +20,12 @@ from primrose.functions.text import (
     adjacent_bigrams,
     bigram_length_filter,
     content_terms,
-    ngram_tokens,
+    ngram_words,
     simple_tokens,
-    term_counts,
     tfidf_tokens,
     word_tokens,
 )
+from primrose.session import ship_package
 
 # Fixed values of the bigram selection.
 MIN_FREQ = 3
@@ -31,8 +36,53 @@ TOP_BIGRAMS = 1000
 NAMED_SELECTION = 10_000
 
 
-def _counted(docs: DataFrame, tokens: Column) -> DataFrame:
-    return docs.select("doc_id", F.inline(term_counts(tokens)))
+# Words of documents that are counted together.
+COUNTED_WORDS = 1 << 20
+
+
+def _runs_counted(words: pa.ListArray, low: int, high: int):
+    """``(row, term, n)`` of the runs of ``low`` .. ``high`` words in each row.
+    Words and runs are numbered, so only what is kept is spelled out."""
+    coded = words.flatten().dictionary_encode()
+    names, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    sizes = words.value_lengths().fill_null(0).to_numpy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    run, spelled = code, names
+    for n in range(1, high + 1):
+        if n > 1:
+            held = np.flatnonzero(row[: 1 - n] == row[n - 1 :])
+            pairs, found = np.unique(run[held] * len(names) + code[held + n - 1], return_inverse=True)
+            first, last = np.divmod(pairs, max(len(names), 1))
+            spelled = pc.binary_join_element_wise(spelled.take(pa.array(first)), names.take(pa.array(last)), " ")
+            run = np.full(len(code), -1, np.int64)
+            run[held] = found
+        if n >= low:
+            mine = np.flatnonzero(run >= 0)
+            keys, counts = np.unique(row[mine] * max(len(spelled), 1) + run[mine], return_counts=True)
+            place, term = np.divmod(keys, max(len(spelled), 1))
+            yield place, spelled.take(pa.array(term)), counts
+
+
+def _counter(low: int, high: int) -> Callable:
+    def count(batches):
+        for b in batches:
+            sizes = b.column("words").value_lengths().fill_null(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // COUNTED_WORDS, prepend=0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
+                part = b.slice(lo, hi - lo)
+                for row, terms, counts in _runs_counted(part.column("words"), low, high):
+                    ids = part.column("doc_id").take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([ids, terms, pa.array(counts, pa.int64())], ["doc_id", "term", "n"])
+
+    return count
+
+
+def _counted(docs: DataFrame, words: Column, low: int = 1, high: int = 1) -> DataFrame:
+    """``(doc_id, term, n)``: how often each row holds each run of ``words``."""
+    ship_package(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    held = docs.select("doc_id", words.alias("words"))
+    return held.mapInArrow(_counter(low, high), f"doc_id {kind}, term string, n long")
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
@@ -42,7 +92,7 @@ def count_terms(docs: DataFrame) -> DataFrame:
 
 def ngram_terms(docs: DataFrame, low: int = 1, high: int = 2) -> DataFrame:
     """Counts of n-grams over the stop-word-free sequence."""
-    return _counted(docs, ngram_tokens(F.col("text"), low, high))
+    return _counted(docs, ngram_words(F.col("text")), low, high)
 
 
 def tfidf_counts(docs: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
-"""Folds fitted side by side against one MLlib model per fold."""
+"""Folds fitted side by side against one MLlib model per fold; terms counted for
+many rows together against the arrays of each row."""
 
 import random
 
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
-from primrose.operators import folds, models
+from primrose.functions import ngram_tokens, term_counts
+from primrose.operators import features, folds, models
 
 
 @pytest.fixture
@@ -42,3 +45,20 @@ def test_folds_that_end_early_warn(vectors):
     with pytest.warns(UserWarning, match="after 1 steps"):
         found = folds.held_out_predictions(rows, 3, max_steps=1)
     assert found.count() == rows.count()
+
+
+def test_terms_are_counted_for_many_rows_together(spark, monkeypatch):
+    """Counts of runs equal those of the token arrays, cut at any row."""
+    texts = ["red fox red fox jumps", None, "", "the", "fox", "a b2 Redİ fox_x été fox fox", "red fox " * 9]
+    docs = spark.createDataFrame(
+        [(i // 2 if i else None, t) for i, t in enumerate(texts)], "doc_id long, text string"
+    ).coalesce(1)
+    for words in (1 << 20, 4, 1):
+        monkeypatch.setattr(features, "COUNTED_WORDS", words)
+        for low, high in ((1, 1), (1, 2), (2, 4)):
+            tokens = ngram_tokens(F.col("text"), low, high)
+            want = docs.select("doc_id", F.inline(term_counts(tokens)))
+            got = features.ngram_terms(docs, low, high)
+            assert got.schema["n"].dataType == want.schema["n"].dataType
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert features.count_terms(docs.limit(0)).count() == 0
