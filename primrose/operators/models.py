@@ -326,10 +326,10 @@ def fit_logistic(df: DataFrame, max_iter: int = 300) -> LogisticRegressionModel:
 
 
 _BLOCK = 256  # projection rows made together
-_GROUP = 64  # documents projected together
+_CELLS = 8192  # cells of documents projected together
 
 
-@lru_cache(maxsize=1024)
+@lru_cache(maxsize=256)
 def _projection(seed: int, block: int, dim: int) -> np.ndarray:
     """Rows ``block * _BLOCK ..`` of the random projection, made on demand so
     that nothing of vocabulary size is shipped to the tasks."""
@@ -338,16 +338,26 @@ def _projection(seed: int, block: int, dim: int) -> np.ndarray:
     )
 
 
-def _projection_rows(seed: int, wanted: np.ndarray, dim: int) -> np.ndarray:
-    """Projection rows of the sorted indices ``wanted``."""
-    rows = np.empty((len(wanted), dim), dtype=np.float32)
-    blocks = wanted // _BLOCK
-    starts = np.flatnonzero(np.diff(blocks, prepend=-1))
-    ends = np.append(starts[1:], len(wanted))
-    for at, end in zip(starts, ends, strict=False):
-        block = int(blocks[at])
-        rows[at:end] = _projection(seed, block, dim)[wanted[at:end] - block * _BLOCK]
-    return rows
+def _projected(
+    seed: int, dim: int, row: np.ndarray, index: np.ndarray, weight: np.ndarray, rows: int
+) -> np.ndarray:
+    """Weighted sums of projection rows for ``rows`` documents. Cells are read
+    by block, so that a block is made once for all of them; ``row`` rises."""
+    out = np.zeros((rows, dim))
+    if not len(index):
+        return out
+    block = index // _BLOCK
+    order = np.argsort(block, kind="stable")
+    starts = np.flatnonzero(np.diff(block[order], prepend=-1))
+    for at, end in zip(starts, [*starts[1:], len(order)], strict=True):
+        number = int(block[order[at]])
+        made = _projection(seed, number, dim)
+        for lo in range(at, end, _CELLS):
+            mine = order[lo : min(lo + _CELLS, end)]
+            terms = made[index[mine] - number * _BLOCK] * weight[mine, None]
+            first = np.flatnonzero(np.diff(row[mine], prepend=-1))
+            out[row[mine[first]]] += np.add.reduceat(terms, first, axis=0, dtype=np.float64)
+    return out
 
 
 def fourier_features(
@@ -364,19 +374,12 @@ def fourier_features(
 
     @F.pandas_udf("array<double>")
     def project(indices: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for start in range(0, len(indices), _GROUP):
-            idx = indices.iloc[start : start + _GROUP].tolist()
-            val = values.iloc[start : start + _GROUP].tolist()
-            flat = np.concatenate(idx).astype(np.int64)
-            weight = np.concatenate(val).astype(np.float32)
-            wanted, place = np.unique(flat, return_inverse=True)
-            terms = _projection_rows(seed, wanted, dim)[place] * weight[:, None]
-            ends = np.cumsum([len(i) for i in idx])
-            for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
-                z = phase + width * terms[lo:hi].sum(axis=0, dtype=np.float64)
-                out.append(scale * np.cos(z))
-        return pd.Series(out)
+        sizes = [len(i) for i in indices]
+        flat = np.concatenate(indices.tolist()).astype(np.int64)
+        weight = np.concatenate(values.tolist()).astype(np.float32)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        sums = _projected(seed, dim, row, flat, weight, len(sizes))
+        return pd.Series(list(scale * np.cos(phase + width * sums)))
 
     raw = F.unwrap_udt("features")
     dense = raw.getField("type") == 1
