@@ -89,6 +89,31 @@ def test_logistic_bounds(spark):
     assert bare.weights.count() == 0
 
 
+def test_logistic_cells_move_as_runs(spark):
+    """Neighbouring cells of a document are exchanged as one row; labels join
+    them in the blocks, where numbers take as few bytes as they need."""
+    rows, labels = corpus(random.Random(5), n=20)
+    cells = spark.createDataFrame(sorted(rows) + [(77, "unlabelled", 1.0)], "doc_id int, term string, value double").coalesce(1)
+    marks = spark.createDataFrame([*labels, labels[0], (99, 1)], "doc_id long, label int").withColumn("label", F.col("label").cast("double"))
+    table = cells.selectExpr("0 AS p", "doc_id AS doc", "xxhash64(term, 0) AS mark", "value")
+    runs = table.mapInArrow(logistic._gathered, "p int, doc int, marks binary, value binary").collect()
+    assert len(runs) == len({d for d, _, _ in rows}) + 1
+    blocks, _ = logistic._pack_blocks(cells, marks, 0, 2)
+    names = {r["mark"]: r["term"] for r in cells.select("term", logistic._mark(0)).distinct().collect()}
+    found = []
+    for r in blocks.collect():
+        _, (_, sizes, col, value, label) = logistic._block(r, 2)
+        spelled = [names.get(m, "") for m in np.frombuffer(r["marks"], np.int64).tolist()]
+        assert value.dtype == np.uint8 and len(label) == len(sizes)
+        found += sorted((spelled[c], v) for c, v in zip(col.tolist(), value.tolist(), strict=True))
+    # The first document is listed twice and counts with each listing.
+    twice = {labels[0][0]: 2}
+    want = [(t, v * twice.get(d, 1)) for d, t, v in rows] + [("", twice.get(d, 1)) for d, _ in [*labels, (99, 1)]]
+    assert sorted(found) == sorted(want)
+    for x in ([0.5, 1.0], [-1.0, 7.0], [1 / 3, 2.0], [70000.0], [300.0], [1e300]):
+        assert np.array_equal(logistic._narrow(np.array(x)).astype(np.float64), x)
+
+
 def test_logistic_packs_by_marks_without_a_join(spark, monkeypatch):
     """Cells are packed by a hash of their term that no other term has; the
     vocabulary is not joined with the cells."""
