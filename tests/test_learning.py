@@ -192,6 +192,23 @@ def test_tree_equals_a_plain_recursion(spark, monkeypatch, criterion, cells):
     assert all(leaves[node] == p for node, p in by_path.values())
 
 
+def test_tree_levels_move_no_documents(spark, monkeypatch):
+    """Documents are written once, however many levels the tree has; hashes of
+    names that meet are given up for the next ones."""
+    rng = random.Random(6)
+    rows = [(i, int(rng.random() < 0.5), [f"f{'x' * j}" for j in range(6) if rng.random() < 0.5]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, label int, features array<string>")
+    want = trees.fit_tree(docs, support_cutoff=4).collect()
+    written, kept, good = [], trees._kept, trees._mark
+    monkeypatch.setattr(trees, "_kept", lambda df, label: written.append(label) or kept(df, label))
+    monkeypatch.setattr(trees, "LOCAL_CELLS", 20)
+    monkeypatch.setattr(trees, "BLOCK_CELLS", 40)
+    monkeypatch.setattr(trees, "_mark", lambda x, seed: good(x, seed) if seed else F.pmod(F.length(x), F.lit(2)).cast("long"))
+    got = trees.fit_tree(docs, support_cutoff=4).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len(got) > 7
+    assert written.count("tree-documents") == written.count("tree-blocks") == 1
+
+
 def test_tree_corner_cases(spark):
     schema = "doc_id long, label int, features array<string>"
     nothing = spark.createDataFrame([], schema)
