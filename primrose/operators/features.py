@@ -25,7 +25,7 @@ from primrose.functions.text import (
     tfidf_tokens,
     word_tokens,
 )
-from primrose.session import ship_package
+from primrose.session import scratch_path, ship_package
 
 # Fixed values of the bigram selection.
 MIN_FREQ = 3
@@ -268,10 +268,13 @@ def top_bigrams(
     """The ``n`` bigrams whose probabilities differ most between the labels.
 
     Kept when seen ``min_freq`` times under either label; ties are broken by
-    the bigram, descending. The label totals read the aggregated table again,
-    which reuses its exchange; the cut is a top-k per task.
+    the bigram, descending. The aggregated table is written, because the label
+    totals read it again and would make it again; the cut is a top-k per task.
     """
-    table = bigram_label_table(docs)
+    spark = docs.sparkSession
+    path = scratch_path(spark, "label-bigrams")
+    bigram_label_table(docs).write.parquet(path)
+    table = spark.read.parquet(path)
     totals = table.agg(
         F.struct(
             F.sum("n_pos").cast("double").alias("pos"),

@@ -1099,7 +1099,10 @@ def _tree_scored(v: Views, criterion: str) -> DataFrame:
     docs = v.labelled_documents.filter("label IS NOT NULL")
     joined = docs.join(split.train_test_split(docs, key="doc_id"), "doc_id")
     train, test = (joined.filter(F.col("part") == p).drop("part") for p in ("train", "test"))
-    selected = features.top_bigrams(train)
+    # Read twice, made once.
+    path = scratch_path(v.spark, "tree-bigrams")
+    features.top_bigrams(train).write.parquet(path)
+    selected = v.spark.read.parquet(path)
     tree = trees.fit_tree(_tree_documents(train, selected), criterion)
     held = _tree_documents(test, selected)
     return trees.tree_predict(tree, held).join(held.select("doc_id", "label"), "doc_id")

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from primrose.operators import logistic, models, trees
+from primrose.operators import features, logistic, models, trees
+from primrose.plans import queries
 
 
 def corpus(rng, n=60, width=12):
@@ -209,6 +210,31 @@ def test_tree_levels_move_no_documents(spark, monkeypatch):
     assert written.count("tree-documents") == written.count("tree-blocks") == 1
 
 
+def test_tree_bigrams_are_selected_once(spark, monkeypatch, tmp_path):
+    """The bigrams of the train part are counted once for selection, totals and
+    both parts."""
+    texts = ["red fox jumps over red fox", "blue whale sings under blue whale", "red fox sings"]
+    docs = [(i, texts[i % 3]) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    counted, good = spark.sparkContext.accumulator(0), features._counted_bigrams
+
+    def seen(n):
+        counted.add(1)
+        return n
+
+    tick = F.udf(seen, "int").asNondeterministic()
+
+    def counting(text):
+        return F.when(tick(F.length(text)) >= 0, good(text))
+
+    monkeypatch.setattr(features, "_counted_bigrams", counting)
+    rows = queries.QUERIES["fit_decision_tree"](spark, str(tmp_path)).collect()
+    assert sum(r["n"] for r in rows if r["label"] == r["prediction"]) == sum(r["n"] for r in rows) > 0
+    assert 0 < counted.value <= 60
+
+
 def test_tree_corner_cases(spark):
     schema = "doc_id long, label int, features array<string>"
     nothing = spark.createDataFrame([], schema)
