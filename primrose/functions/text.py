@@ -106,14 +106,18 @@ def simple_tokens(text: Column) -> Column:
     return F.split(F.lower(F.regexp_replace(text, r"\W", " ")), " ")
 
 
+def raw_tokens(text: Column) -> Column:
+    """Words and runs of symbols as they are written."""
+    return F.regexp_extract_all(text, F.lit(WORD_OR_SYMBOLS), F.lit(0))
+
+
 def word_tokens(text: Column) -> Column:
     """Words and runs of symbols, lower case, without the tokens that occur
     inside the punctuation string.
 
     Deviation: a Unicode word rule in place of a Treebank tokeniser.
     """
-    tokens = F.regexp_extract_all(text, F.lit(WORD_OR_SYMBOLS), F.lit(0))
-    kept = F.filter(tokens, lambda w: ~F.contains(F.lit(PUNCTUATION), w))
+    kept = F.filter(raw_tokens(text), lambda w: ~F.contains(F.lit(PUNCTUATION), w))
     return F.transform(kept, F.lower)
 
 

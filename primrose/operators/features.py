@@ -17,10 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from primrose.functions.text import (
+    PUNCTUATION,
     adjacent_bigrams,
     bigram_length_filter,
     content_terms,
     ngram_words,
+    raw_tokens,
     simple_tokens,
     tfidf_tokens,
     word_tokens,
@@ -210,25 +212,118 @@ def word_presence_map(docs: DataFrame) -> DataFrame:
     )
 
 
-def document_bigrams(docs: DataFrame) -> DataFrame:
-    """Every neighbouring pair of every document: ``(doc_id, w1, w2)``."""
+# Words whose neighbouring pairs are counted together, and rows handed on at once.
+PAIRED_WORDS = 1 << 22
+PAIR_ROWS = 1 << 17
+
+# The tokens that ``word_tokens`` leaves out.
+_PUNCTUATION_RUNS = sorted(
+    {PUNCTUATION[i:j] for i in range(len(PUNCTUATION)) for j in range(i, len(PUNCTUATION) + 1)}
+)
+
+
+def _pairs_counted(words: pa.Array, label: pa.Array | None = None):
+    """``(w1, w2, n)`` of the neighbouring words in the rows of ``words``, raw
+    tokens; with ``label``, ``(label, w1, w2, n)``. Words are numbered, so only
+    the pairs found are spelled out.
+
+    Punctuation goes before pairs are made. A-Z are lower-cased here, so that
+    most spellings of a word share a number; the caller lower-cases the rest.
+    """
+    coded = words.flatten().dictionary_encode()
+    lower = pc.ascii_lower(coded.dictionary).dictionary_encode()
+    names, code = lower.dictionary, lower.indices.to_numpy()[coded.indices.to_numpy()]
+    row = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy())
+    dropped = pc.is_in(names, pa.array(_PUNCTUATION_RUNS)).to_numpy(zero_copy_only=False)
+    held = np.flatnonzero(~dropped[code])
+    code, row = code[held].astype(np.int64), row[held]
+    left = np.flatnonzero(row[1:] == row[:-1])
+    first, second, size = code[left], code[left + 1], max(len(names), 1)
+    if label is not None:
+        marks = label.take(pa.array(row[left])).dictionary_encode("encode")
+        # Numbered again, so that the products below stay small.
+        firsts = pa.array(marks.indices.to_numpy() * np.int64(size) + first).dictionary_encode()
+        first = firsts.indices.to_numpy().astype(np.int64)
+    keys, counts = np.unique(first * size + second, return_counts=True)
+    first, second = np.divmod(keys, size)
+    if label is not None:
+        mark, first = np.divmod(firsts.dictionary.to_numpy()[first], size)
+    for at in range(0, len(keys), PAIR_ROWS):
+        part = slice(at, at + PAIR_ROWS)
+        pairs = [names.take(pa.array(first[part])), names.take(pa.array(second[part])), pa.array(counts[part], pa.int64())]
+        yield pairs if label is None else [marks.dictionary.take(pa.array(mark[part])), *pairs]
+
+
+def _pair_counter(batches):
+    """Counts the pairs of about ``PAIRED_WORDS`` words at a time, whatever the
+    size of a batch or of a partition."""
+
+    def counted(parts):
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()
+        for r in rows:
+            label = r.column("label") if "label" in r.schema.names else None
+            for columns in _pairs_counted(r.column("words"), label):
+                names = [*(["label"] if label is not None else []), "w1", "w2", "n"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    held, size = [], 0
+    for b in batches:
+        # A row counts as one more word, so rows without words are bounded, too.
+        ends = np.cumsum(b.column("words").value_lengths().fill_null(0).to_numpy() + np.int64(1))
+        at = 0
+        while at < len(b):
+            done = ends[at - 1] if at else 0
+            to = int(np.searchsorted(ends, done + PAIRED_WORDS - size, "right"))
+            if to <= at and held:
+                yield from counted(held)
+                held, size = [], 0
+                continue
+            to = max(to, at + 1)
+            held.append(b.slice(at, to - at))
+            size += int(ends[to - 1] - done)
+            at = to
+    if held:
+        yield from counted(held)
+
+
+def _pair_counts(docs: DataFrame, words: Column, *keys: str) -> DataFrame:
+    """``(*keys, w1, w2, n)``; ``keys`` is nothing or ``label``. A pair has a row
+    for each run of documents counted together. Callers exchange these rows by
+    pair before adding them up: a table of pairs made before the exchange grows
+    with the partitions of the input and is sorted and spilled when these are large."""
+    ship_package(docs.sparkSession)
+    kinds = [f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys]
+    held = docs.select(*keys, words.alias("words"))
+    pairs = held.mapInArrow(_pair_counter, ", ".join([*kinds, "w1 string, w2 string, n long"]))
+    return pairs.select(*keys, F.lower("w1").alias("w1"), F.lower("w2").alias("w2"), "n")
+
+
+def document_bigrams(docs: DataFrame, counted: bool = False) -> DataFrame:
+    """Every neighbouring pair of every document: ``(doc_id, w1, w2)``.
+
+    With ``counted``, ``(w1, w2, n)``: pairs counted for many documents
+    together. A pair may have several rows, in one partition, which are still to
+    be added up.
+    """
+    if counted:
+        return _pair_counts(docs, raw_tokens(F.col("text"))).repartition("w1", "w2")
     return docs.select("doc_id", F.inline(adjacent_bigrams(word_tokens(F.col("text")))))
 
 
 def _counted_bigrams(text: Column) -> Column:
-    return F.filter(
-        adjacent_bigrams(word_tokens(text)),
-        lambda b: bigram_length_filter(b.getField("w1"), b.getField("w2"), MIN_WORD_LEN),
-    )
+    """The tokens of a text whose bigrams are counted."""
+    return raw_tokens(text)
+
+
+def _label_pairs(docs: DataFrame) -> DataFrame:
+    """``(label, w1, w2, n)``, still to be added up: pairs with a long word."""
+    pairs = _pair_counts(docs, _counted_bigrams(F.col("text")), "label")
+    return pairs.filter(bigram_length_filter(F.col("w1"), F.col("w2"), MIN_WORD_LEN)).repartition("w1", "w2")
 
 
 def label_bigram_counts(docs: DataFrame) -> DataFrame:
     """``(label, w1, w2, n)``; ``docs`` has ``text`` and ``label`` 0 or 1."""
-    return (
-        docs.select("label", F.inline(_counted_bigrams(F.col("text"))))
-        .groupBy("label", "w1", "w2")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return _label_pairs(docs).groupBy("label", "w1", "w2").agg(F.sum("n").alias("n"))
 
 
 def label_bigram_probs(counts: DataFrame) -> DataFrame:
@@ -253,12 +348,9 @@ def bigram_universe(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def bigram_label_table(docs: DataFrame) -> DataFrame:
     """``(w1, w2, n_pos, n_neg)``: one row per bigram of either label."""
-    pairs = docs.filter(F.col("label").isin(0, 1)).select(
-        "label", F.inline(_counted_bigrams(F.col("text")))
-    )
+    pairs = _label_pairs(docs.filter(F.col("label").isin(0, 1)))
     return pairs.groupBy("w1", "w2").agg(
-        F.count_if(F.col("label") == 1).alias("n_pos"),
-        F.count_if(F.col("label") == 0).alias("n_neg"),
+        *[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(c) for k, c in ((1, "n_pos"), (0, "n_neg"))]
     )
 
 

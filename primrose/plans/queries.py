@@ -686,11 +686,8 @@ def first_feed_wins(v: Views) -> DataFrame:
 
 @query
 def adjacent_bigrams_of(v: Views) -> DataFrame:
-    return (
-        features.document_bigrams(v.documents)
-        .groupBy("w1", "w2")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    pairs = features.document_bigrams(v.documents, counted=True)
+    return pairs.groupBy("w1", "w2").agg(F.sum("n").alias("n"))
 
 
 QUERIES["adjacent_bigrams"] = QUERIES.pop("adjacent_bigrams_of")

@@ -3,11 +3,12 @@ many rows together against the arrays of each row."""
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from primrose.functions import ngram_tokens, term_counts
+from primrose.functions import adjacent_bigrams, bigram_length_filter, ngram_tokens, term_counts, word_tokens
 from primrose.operators import features, folds, models
 
 
@@ -62,3 +63,61 @@ def test_terms_are_counted_for_many_rows_together(spark, monkeypatch):
             assert got.schema["n"].dataType == want.schema["n"].dataType
             assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert features.count_terms(docs.limit(0)).count() == 0
+
+
+def test_pairs_are_counted_for_many_rows_together(spark, monkeypatch):
+    """Counts of pairs equal those of single pairs, cut at any row; no task adds
+    up the pairs of its whole partition before the exchange."""
+    texts = [
+        "Red fox, RED fox (jumps)", None, "", "a", "?!", "ΑΣ Ԫa ΑΣ ... İx i̇x the _ été ÉTÉ", "red fox " * 9, "x.y", "()* b2 [c",
+    ]
+    rows = [(i, t, [1, 0, None, 7][i % 4]) for i, t in enumerate(texts * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").coalesce(1)
+    single = docs.select("label", F.inline(adjacent_bigrams(word_tokens(F.col("text")))))
+    long = single.filter(bigram_length_filter(F.col("w1"), F.col("w2")))
+
+    def seen(df, *columns):
+        return sorted(map(str, df.select(*columns).collect()))
+
+    n = F.count(F.lit(1)).alias("n")
+    want = seen(single.groupBy("w1", "w2").agg(n), "w1", "w2", "n")
+    labelled = seen(long.groupBy("label", "w1", "w2").agg(n), "label", "w1", "w2", "n")
+    table = long.filter("label IN (0, 1)").groupBy("w1", "w2").agg(
+        F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg")
+    )
+    both = seen(table, "w1", "w2", "n_pos", "n_neg")
+    assert len(want) == 15 and labelled and both
+    for words, out in ((1 << 22, 1 << 17), (5, 2), (1, 1)):
+        monkeypatch.setattr(features, "PAIRED_WORDS", words)
+        monkeypatch.setattr(features, "PAIR_ROWS", out)
+        assert len(list(features._pair_counter(iter([])))) == 0
+        pairs = features.document_bigrams(docs, counted=True)
+        assert seen(pairs.groupBy("w1", "w2").agg(F.sum("n").alias("n")), "w1", "w2", "n") == want
+        assert seen(features.label_bigram_counts(docs), "label", "w1", "w2", "n") == labelled
+        assert seen(features.bigram_label_table(docs), "w1", "w2", "n_pos", "n_neg") == both
+    assert features.document_bigrams(docs.limit(0), counted=True).count() == 0
+    for counts in (features.label_bigram_counts(docs), features.bigram_label_table(docs)):
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("HashAggregate") == 2 and plan.rindex("HashAggregate") < plan.index("Exchange")
+
+
+def test_pairs_of_batches_are_held_in_bounds(monkeypatch):
+    """Small batches are counted together, large ones in pieces."""
+    sizes, good = [], features._pairs_counted
+
+    def noting(words, label=None):
+        sizes.append(len(words.flatten()))
+        return good(words, label)
+
+    monkeypatch.setattr(features, "_pairs_counted", noting)
+    monkeypatch.setattr(features, "PAIRED_WORDS", 100)
+    rows = [["a", "b"]] * 30 + [None, []] + [["c"] * 250] + [["d", "e", "f"]] * 200
+    batches = [pa.RecordBatch.from_arrays([pa.array(rows[i : i + 7], pa.list_(pa.string()))], ["words"]) for i in range(0, len(rows), 7)]
+    for some in (batches, [pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["words"])]):
+        sizes.clear()
+        found = {}
+        for b in features._pair_counter(iter(some)):
+            for r in b.to_pylist():
+                found[r["w1"], r["w2"]] = found.get((r["w1"], r["w2"]), 0) + r["n"]
+        assert found == {("a", "b"): 30, ("c", "c"): 249, ("d", "e"): 200, ("e", "f"): 200}
+        assert sum(sizes) == 30 * 2 + 250 + 600 and sorted(sizes)[-2] <= 100 and len(sizes) <= 12
