@@ -137,6 +137,41 @@ def test_logistic_packs_by_marks_without_a_join(spark, monkeypatch):
     assert all(abs(a["coef"] - b["coef"]) < 1e-9 for a, b in zip(got, want, strict=True))
 
 
+def test_logistic_leaves_out_features_that_cannot_move(spark, monkeypatch):
+    """A feature too rare to outweigh the penalty has no variable, the single
+    features of a document and value share one; the model is the plain solver's."""
+    for name, value in (("BLOCK_FEATURES", 40), ("BLOCK_CELLS", 300)):
+        monkeypatch.setattr(logistic, name, value)
+    rows, labels = corpus(random.Random(6), n=40)
+    rows += [(d, f"s{d}x{j}", 1.0 + j % 2) for d, _ in labels[::2] for j in range(5)]
+    rows += [(d, f"r{d}", 0.01) for d, _ in labels]
+    terms = spark.createDataFrame(rows, "doc_id long, term string, value double")
+    marks = spark.createDataFrame(labels, "doc_id long, label int")
+    cells, marked = terms, marks.withColumn("label", F.col("label").cast("double"))
+    packed, p_blocks = logistic._pack_blocks(cells, marked, 0)
+    packed = packed.collect()
+    always = spark.range(1).select(F.lit("").alias("term")).select(logistic._mark(0)).first()["mark"]
+    judged = dict(logistic._judge(1e-2 * 0.15 * len(labels), always)(x for r in packed for x in logistic._asked(r, p_blocks)))
+    held, others = set(), []
+    for r in packed:
+        answers = {q: dict(x[3]) for q, x in judged.items()}
+        runs = logistic._runs(np.frombuffer(r["marks"], np.int64), p_blocks)
+        block, features, stood, at = logistic._reduced(r, np.concatenate([answers[q][r["p"]] for q, _, _ in runs]), 3)
+        held |= set(features["mark"].tolist())
+        others += stood["mark"].tolist()
+        assert features["times"].sum() == len(features) + len(stood) and len(at) == len(stood)
+        assert block[1].min() >= 1 and block[1].sum() == len(block[2]) == len(block[3])
+    common = len({t for _, t, _ in rows if t.startswith("t")})
+    assert len(held) == common + 1 + 2 * len(labels[::2]) and len(others) == 3 * len(labels[::2])
+    fit = logistic.fit_logistic_terms(terms, marks, reg=1e-2, tol=1e-5)
+    want = plain_logistic(rows, labels, steps=20_000)
+    got = {r["feature"]: r["coef"] for r in fit.weights.collect()}
+    assert set(got) == set(want) - {""} and any(got[t] for t in got if t.startswith("s"))
+    assert all(abs(got[t] - want[t]) < 1e-3 for t in got) and not any(got[t] for t in got if t.startswith("r"))
+    found = logistic.residuals(fit, terms, marks, reg=1e-2).agg(F.max("residual"), F.count(F.lit(1))).first()
+    assert found[0] <= 1.001e-5 and found[1] == len(got)
+
+
 def weighed(n):
     return n * math.log2(n) if n else 0.0
 
