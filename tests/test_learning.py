@@ -1,6 +1,7 @@
 """Fits against plain solvers on small frames."""
 
 import math
+import pathlib
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from primrose.operators import features, logistic, models, trees
 from primrose.plans import queries
+from primrose.session import shared_dir
 
 
 def corpus(rng, n=60, width=12):
@@ -172,6 +174,28 @@ def test_logistic_leaves_out_features_that_cannot_move(spark, monkeypatch):
     assert found[0] <= 1.001e-5 and found[1] == len(got)
 
 
+def test_logistic_leaves_only_coefficients_on_disk(spark, monkeypatch, tmp_path):
+    """Blocks, runs and checkpoints of the fit go when nothing reads them."""
+    rows, labels = corpus(random.Random(7), n=30)
+    terms = spark.createDataFrame(rows, "doc_id long, term string, value double")
+    marks = spark.createDataFrame(labels, "doc_id long, label int")
+    monkeypatch.setattr(logistic, "CUT_EVERY", 2)
+    held, good = [], logistic._sweep
+
+    def noting(session):
+        good(session)
+        held.append({f.name.partition("-")[0] for f in tmp_path.iterdir()} | {f.name for f in checkpoints.glob("rdd-*")} - before)
+
+    checkpoints = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    before = {f.name for f in checkpoints.glob("rdd-*")}
+    monkeypatch.setattr(logistic, "_sweep", noting)
+    monkeypatch.setattr(logistic, "scratch_path", lambda _, label: str(tmp_path / f"{label}-{len(list(tmp_path.iterdir()))}"))
+    fit = logistic.fit_logistic_terms(terms, marks, reg=1e-2)
+    assert fit.steps > 4 and held[-1] == {"coefficients"}
+    # While it runs: three things that every step reads, and one state.
+    assert len(held) > 4 and all(len(x) <= 4 for x in held[2:])
+
+
 def weighed(n):
     return n * math.log2(n) if n else 0.0
 
