@@ -9,7 +9,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from primrose.functions import adjacent_bigrams, bigram_length_filter, ngram_tokens, term_counts, word_tokens
-from primrose.operators import features, folds, models
+from primrose.operators import features, folds, logistic, models
 
 
 @pytest.fixture
@@ -41,6 +41,26 @@ def test_folds_equal_one_model_each(vectors, monkeypatch):
     )
 
 
+def test_small_folds_are_fitted_in_a_task_each(spark, vectors, monkeypatch):
+    """The same predictions as by steps over all tasks, which are not made."""
+    # Features of one document, some with one value.
+    extra = [(i, Vectors.sparse(80, {i % 16: 1.0, **{20 + i % 50 + j: 1.0 + j // 2 for j in range(3)}}), float(i % 3 == 0)) for i in range(0, 50, 9)]
+    wide = vectors.filter("doc_id >= 8").rdd.map(
+        lambda r: (r[0] + 1000, Vectors.sparse(80, {j: float(x) for j, x in enumerate(r[1].toArray()) if x}), r[2])
+    ).collect()
+    df = spark.createDataFrame(wide + extra, ["doc_id", "features", "label"])
+    rows = df.join(models.stratified_folds(df, 3), "doc_id").persist()
+    monkeypatch.setattr(folds, "TASK_CELLS", 0)
+    want = sorted(map(str, folds.held_out_predictions(rows, 3, reg=1e-2, tol=1e-3).collect()))
+    monkeypatch.setattr(folds, "TASK_CELLS", 1 << 23)
+
+    def tasks(*_):
+        raise AssertionError("steps over all tasks")
+
+    monkeypatch.setattr(logistic, "_tasks", tasks)
+    assert sorted(map(str, folds.held_out_predictions(rows, 3, reg=1e-2, tol=1e-3).collect())) == want and len(want) == rows.count()
+
+
 def test_folds_that_end_early_warn(vectors):
     rows = vectors.join(models.stratified_folds(vectors, 3), "doc_id")
     with pytest.warns(UserWarning, match="after 1 steps"):
