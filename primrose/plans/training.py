@@ -66,12 +66,12 @@ def prepare(
 
 
 def _count_models(train: DataFrame, test: DataFrame, model_type: str) -> list[Evaluation]:
-    fitted = models.fit_features(train, model_type)
-    vectors, held_out = fitted.transform(train), fitted.transform(test)
+    fitted = models.fit_kernel_features(train, model_type)
+    vectors, held_out = fitted.transform(train, known=True), fitted.transform(test)
     labels = train.select("doc_id", "label")
     linear = logistic.fit_logistic_terms(logistic.linear_terms(train, train, model_type), labels)
     margins = logistic.margins(linear, test, logistic.linear_terms(test, train, model_type))
-    kernel = models.fit_rbf_svm(vectors, len(fitted.vocabulary))
+    kernel = models.fit_rbf_svm(vectors, fitted.size)
     judged = {
         "logistic": logistic.predictions(margins, test.select("doc_id", "label")),
         "rbf_svm": models.predict(kernel, held_out),

@@ -196,6 +196,32 @@ def test_logistic_leaves_only_coefficients_on_disk(spark, monkeypatch, tmp_path)
     assert len(held) > 4 and all(len(x) <= 4 for x in held[2:])
 
 
+def test_kernel_machine_without_a_vocabulary(spark):
+    """Where the vocabulary is too large for the driver, words are hashes; words
+    that only the other documents have do not count."""
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(words[: 20 if i % 2 else 30], k=8)), float(i % 2)) for i in range(60)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, label double")
+    texts = ["word1 word1 word2", "word1 word1 word2 unseen", "unseen", "", None, "word1 word1 word2"]
+    test = spark.createDataFrame([(i // 2, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, label double")
+    fitted = models.fit_kernel_features(train, "Basic", vocab_limit=3)
+    assert fitted.size == len({w for _, t, _ in rows for w in t.split()})
+    found = sorted((r["doc_id"], sorted(r["features"])) for r in fitted.transform(test).collect())
+    one, two = (spark.range(1).select(F.xxhash64(F.lit(w))).first()[0] for w in ("word1", "word2"))
+    full = sorted([one, one, two])
+    assert found == sorted([(0, full), (0, full), (1, []), (1, []), (2, []), (2, full)])
+    mapped = models.fourier_features(fitted.transform(train, known=True), 0.05, dim=4096).orderBy("doc_id").collect()
+    z = np.array([r["features"].toArray() for r in mapped])
+    x = np.array([[t.split().count(w) for w in words] for _, t, _ in rows])
+    want = np.exp(-0.05 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert np.abs(z @ z.T - want).max() < 0.1
+    with pytest.warns(UserWarning, match="not converged after 3 iterations"):
+        model = models.fit_rbf_svm(fitted.transform(train, known=True), fitted.size, dim=64, max_iter=3)
+    assert models.predict(model, fitted.transform(test)).count() == len(texts)
+    assert isinstance(models.fit_kernel_features(train, "Basic"), models.Featurizer)
+
+
 def weighed(n):
     return n * math.log2(n) if n else 0.0
 
