@@ -53,6 +53,7 @@ def test_small_folds_are_fitted_in_a_task_each(spark, vectors, monkeypatch):
     monkeypatch.setattr(folds, "TASK_CELLS", 0)
     want = sorted(map(str, folds.held_out_predictions(rows, 3, reg=1e-2, tol=1e-3).collect()))
     monkeypatch.setattr(folds, "TASK_CELLS", 1 << 23)
+    monkeypatch.setattr(folds, "STEP_CELLS", 50)
 
     def tasks(*_):
         raise AssertionError("steps over all tasks")
